@@ -1,11 +1,542 @@
-"""Named queries over the driver's tables, each with SQL where SQL can express it."""
+"""Named queries over the driver's tables, each with SQL where SQL can express it.
+
+documents is the corpus, labels.quality its classes, conversations the small corpus of the pair
+operators (role is the class), embeddings the dense vectors.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wordmill.functions import chars, strings
+from wordmill.operators import bayes, cooc, counts, evaluate, features, maxent, ner, neural, retrieval, segment, senses, tokens, topics, vocab, windows
+from wordmill.plans.staging import stage
+from wordmill.streaming import scoring
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+# Our own small word lists, the same in queries and SQL.
+STOP = ["the", "and", "of", "to", "in", "de", "la", "le", "que", "der", "die", "und"]
+LEXICON = [("the", 90), ("tion", 40), ("ment", 30), ("and", 50), ("en", 35), ("er", 33), ("re", 25), ("es", 24), ("th", 12), ("ou", 11), ("in", 30), ("ing", 22), ("ent", 21), ("ich", 15), ("ción", 9), ("ver", 8), ("ung", 7), ("que", 13), ("an", 28), ("on", 27)]
+AIMS = ["the", "with", "que", "der"]
+THESAURUS = [("the", "s1", "and"), ("the", "s1", "this"), ("the", "s2", "that"), ("the", "s2", "of"), ("with", "s1", "from"), ("with", "s1", "for"), ("with", "s2", "in"), ("que", "s1", "de"), ("que", "s2", "la"), ("que", "s2", "por"), ("der", "s1", "die"), ("der", "s2", "das"), ("der", "s2", "und")]
+POSITIVE, NEGATIVE = ["the", "and", "la", "die"], ["of", "is", "de", "und"]
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def words_of(docs: DataFrame, *keep: str) -> DataFrame:
+    return tokens.explode_tokens(docs, tokens.unicode_words(F.col("text")), *keep)
+
+
+def listed(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+# ---- SQL building blocks
+TOK = r"""w AS (SELECT *, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents),
+tok AS (SELECT doc_id, lang, source, unnest(ws) AS word, CAST(generate_subscripts(ws, 1) AS INTEGER) AS pos FROM w)"""
+LAB = "lab AS (SELECT tok.doc_id, pos, word, quality FROM tok JOIN labels USING (doc_id))"
+CONV = r"""turns AS (SELECT conv_id, turn, role, list_sort(list_distinct(regexp_extract_all(lower(text), '\p{L}+'))) AS ws FROM conversations),
+pairs AS (SELECT conv_id, turn, role, a.word AS w1, b.word AS w2
+  FROM (SELECT conv_id, turn, role, unnest(ws) AS word FROM turns) a JOIN (SELECT conv_id, turn, role, unnest(ws) AS word FROM turns) b USING (conv_id, turn, role) WHERE a.word < b.word)"""
+CHI = """tot AS (SELECT CAST(sum(n) AS DOUBLE) AS n_xx FROM cnt),
+cls AS (SELECT label, CAST(sum(n) AS DOUBLE) AS n_xi FROM cnt GROUP BY label),
+wrd AS (SELECT word, CAST(sum(n) AS DOUBLE) AS n_ix FROM cnt GROUP BY word),
+marg AS (SELECT word, n_xx, n_xi, n_ix, coalesce(CAST(n AS DOUBLE), 0) AS n_ii FROM wrd CROSS JOIN cls CROSS JOIN tot LEFT JOIN cnt USING (word, label)),
+cell AS (SELECT word, n_xx, n_ii, n_ix - n_ii AS io, n_xi - n_ii AS oi, n_xx - n_ii - (n_ix - n_ii) - {off} AS oo FROM marg),
+chi AS (SELECT word, sum(CASE WHEN n_ii + oi = 0 OR io + oo = 0 OR oi + oo = 0 THEN 0 ELSE n_xx * pow(n_ii * oo - io * oi, 2) / ((n_ii + io) * (n_ii + oi) * (io + oo) * (oi + oo)) END) AS chi2 FROM cell GROUP BY word)"""
+PRESENT = "cnt AS (SELECT word, quality AS label, count(DISTINCT doc_id) AS n FROM lab GROUP BY word, quality)"
+
+
+# ---- tokens, characters, filters
+@query("doc_tokens", f"WITH {TOK} SELECT doc_id, CAST(len(ws) AS INTEGER) AS n_tokens, CAST(len(list_distinct(ws)) AS INTEGER) AS n_distinct FROM w")
+def doc_tokens(spark, sf_dir):
+    words = tokens.unicode_words(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).alias("n_tokens"), F.size(F.array_distinct(words)).alias("n_distinct"))
+
+
+@query("char_class_counts", rf"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[{chars.ZH_RANGES}]')) AS INTEGER) AS n_zh,
+ CAST(len(regexp_extract_all(text, '[{chars.PUNCT_RANGES.replace("`", "`")}]')) AS INTEGER) AS n_punct,
+ CAST(len(regexp_extract_all(text, '[{chars.TERMINATORS}]')) AS INTEGER) AS n_end FROM documents""")
+def char_class_counts(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", chars.count_class(text, chars.ZH_RANGES).alias("n_zh"), chars.count_class(text, chars.PUNCT_RANGES).alias("n_punct"), chars.count_class(text, chars.TERMINATORS).alias("n_end"))
+
+
+@query("length_band", """SELECT lang, length(text) BETWEEN 4 AND 50 AS short, length(text) <= 512 AS medium, strlen(text) <= 100 AS few_bytes, count(*) AS n
+FROM documents GROUP BY ALL""")
+def length_band(spark, sf_dir):
+    text = F.col("text")
+    bands = {"short": tokens.length_ok(text, 4, 50), "medium": tokens.length_ok(text, None, 512), "few_bytes": tokens.length_ok(text, None, 100, in_bytes=True)}
+    return table(spark, sf_dir, "documents").withColumns(bands).groupBy("lang", *bands).agg(F.count("*").alias("n"))
+
+
+@query("stopword_anti", f"WITH {TOK} SELECT word, count(*) AS n FROM tok WHERE word NOT IN ({listed(STOP)}) AND length(word) > 1 GROUP BY word")
+def stopword_anti(spark, sf_dir):
+    stop = spark.createDataFrame([(w,) for w in STOP], "word string")
+    kept = tokens.drop_single(tokens.drop_words(words_of(table(spark, sf_dir, "documents")), stop))
+    return counts.occurrences(kept)
+
+
+@query("longest_match", "SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', '', 'g'), '(?s)" + "|".join(sorted((w for w, _ in LEXICON), key=lambda w: (-len(w), w))) + "|.')) AS piece FROM documents) GROUP BY piece")
+def longest_match(spark, sf_dir):
+    pieces = tokens.longest_match(F.col("text"), [w for w, _ in LEXICON])
+    return table(spark, sf_dir, "documents").select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+
+
+@query("sentence_split", r"""WITH t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+|[!?,;.！？，。…]') AS ws FROM documents)),
+s AS (SELECT *, coalesce(sum(CASE WHEN word IN ('!','?',',',';','.','！','？','，','。','…') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent,
+ sum(CASE WHEN word IN ('!','?',',',';','.','！','？','，','。','…') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS every FROM t)
+SELECT doc_id, count(DISTINCT sent) AS sentences, count(*) AS n_tokens FROM s WHERE sent < every GROUP BY doc_id""")
+def sentence_split(spark, sf_dir):
+    words = F.regexp_extract_all(F.lower("text"), F.lit(rf"(\p{{L}}+|[{chars.TERMINATORS}])"), F.lit(1))
+    cut = tokens.sentences(tokens.explode_tokens(table(spark, sf_dir, "documents"), words, "doc_id"), "doc_id")
+    return cut.groupBy("doc_id").agg(F.countDistinct("sent").alias("sentences"), F.count("*").alias("n_tokens"))
+
+
+# ---- vocabulary and counts
+@query("vocab_ids", f"WITH {TOK}, f AS (SELECT word, min(doc_id) AS first_doc, arg_min(pos, doc_id * 10000000 + pos) AS first_pos FROM tok GROUP BY word) SELECT word, first_doc, first_pos, row_number() OVER (ORDER BY first_doc, first_pos) - 1 AS word_id FROM f")
+def vocab_ids(spark, sf_dir):
+    return vocab.first_seen(words_of(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+@query("top_vocabulary", f"WITH {TOK}, c AS (SELECT word, count(*) AS n FROM tok GROUP BY word ORDER BY n DESC, word LIMIT 500) SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) AS INTEGER) AS word_id FROM c UNION ALL SELECT 'U', 0")
+def top_vocabulary(spark, sf_dir):
+    return vocab.top_vocabulary(counts.occurrences(words_of(table(spark, sf_dir, "documents"))), 500)
+
+
+def labelled_tokens(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return words_of(docs, "doc_id", "quality")
+
+
+@query("term_freq_by_label", f"WITH {TOK}, {LAB} SELECT word, quality, count(*) AS n FROM lab GROUP BY word, quality")
+def term_freq_by_label(spark, sf_dir):
+    return counts.occurrences(labelled_tokens(spark, sf_dir), "quality")
+
+
+@query("doc_freq", f"WITH {TOK} SELECT word, count(DISTINCT doc_id) AS df, count(*) AS tf FROM tok GROUP BY word HAVING count(DISTINCT doc_id) > 5")
+def doc_freq(spark, sf_dir):
+    per = words_of(table(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return per.groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).where("df > 5")
+
+
+def present(spark, sf_dir) -> DataFrame:
+    """(word, label, n): documents of each class with the word."""
+    return counts.presence(labelled_tokens(spark, sf_dir), "doc_id", "quality").withColumnRenamed("quality", "label")
+
+
+@query("count_marginals", f"WITH {TOK}, {LAB}, {PRESENT} SELECT word, label, CAST(sum(n) AS BIGINT) AS n, CAST(grouping_id(word, label) AS INTEGER) AS level FROM cnt GROUP BY GROUPING SETS ((word, label), (word), (label), ())")
+def count_marginals(spark, sf_dir):
+    return counts.marginals(present(spark, sf_dir), "label")
+
+
+# ---- feature scores
+@query("chi_square_top", f"WITH {TOK}, {LAB}, {PRESENT}, {CHI.format(off='(n_xi - n_ii)')} SELECT word, round(chi2, 6) AS chi2 FROM chi ORDER BY chi2 DESC, word LIMIT 20")
+def chi_square_top(spark, sf_dir):
+    return features.top(features.chi_square(present(spark, sf_dir), "label"), 20)
+
+
+@query("chi_square_all", f"WITH {TOK}, {LAB}, {PRESENT}, {CHI.format(off='(n_xi - n_ii)')} SELECT word, round(chi2, 6) AS chi2 FROM chi")
+def chi_square_all(spark, sf_dir):
+    return features.chi_square(present(spark, sf_dir), "label").withColumn("chi2", F.round("chi2", 6))
+
+
+@query("chi_square_compat", f"WITH {TOK}, {LAB}, {PRESENT}, {CHI.format(off='(n_ix - n_ii)')} SELECT word, round(chi2, 5) AS chi2 FROM chi")
+def chi_square_compat(spark, sf_dir):
+    return features.chi_square(present(spark, sf_dir), "label", compat=True).withColumn("chi2", F.round("chi2", 5))
+
+
+TFIDF = f"""WITH {TOK}, tf AS (SELECT doc_id, word, count(*) AS tf FROM tok GROUP BY doc_id, word), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+raw AS (SELECT doc_id, word, tf * log2(CAST((SELECT count(*) FROM documents) AS DOUBLE) / df) AS raw FROM tf JOIN df USING (word)),
+nrm AS (SELECT doc_id, word, CASE WHEN sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) > 0 THEN raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) ELSE 0 END AS w FROM raw)"""
+
+
+def tfidf(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return features.tfidf(words_of(docs, "doc_id"), "doc_id", docs.count())
+
+
+@query("tfidf_top", TFIDF + ", r AS (SELECT doc_id, word, round(w, 6) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 6) DESC, word) AS rank FROM nrm) SELECT doc_id, word, w, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+def tfidf_top(spark, sf_dir):
+    return features.top_per(tfidf(spark, sf_dir).withColumn("w", F.round("w", 6)), ["doc_id"], "w", 5)
+
+
+@query("keywords_top", f"""WITH {TOK}, tf AS (SELECT doc_id, word, count(*) AS tf FROM tok WHERE length(word) > 1 AND word NOT IN ({listed(STOP)}) GROUP BY doc_id, word),
+df AS (SELECT word, count(DISTINCT doc_id) AS df FROM tok GROUP BY word), idf AS (SELECT word, ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / df) AS idf FROM df WHERE df > 5),
+s AS (SELECT doc_id, word, round(tf * coalesce(idf, (SELECT avg(idf) FROM idf)), 6) AS score FROM tf LEFT JOIN idf USING (word)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, word) AS INTEGER) AS rank FROM s) SELECT doc_id, word, score, rank FROM r WHERE rank <= 5""")
+def keywords_top(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = words_of(docs, "doc_id")
+    df = counts.presence(words, "doc_id").where("n > 5")
+    idf = stage(df.select("word", F.log(F.lit(float(docs.count())) / F.col("n")).alias("idf")), "idf")
+    return features.keywords(words, "doc_id", idf, STOP, 5)
+
+
+# ---- naive Bayes: every third numbered document is held out
+NB = f"""WITH {TOK}, lb AS (SELECT d.doc_id, quality, row_number() OVER (ORDER BY d.doc_id) AS rid FROM documents d JOIN labels USING (doc_id)),
+train AS (SELECT doc_id, quality FROM lb WHERE rid % 3 <> 0), test AS (SELECT doc_id, quality FROM lb WHERE rid % 3 = 0),
+lab AS (SELECT tok.doc_id, word, quality FROM tok JOIN train USING (doc_id)), {PRESENT}, {CHI.format(off='(n_xi - n_ii)')},
+best AS (SELECT word FROM (SELECT word, round(chi2, 6) AS chi2 FROM chi ORDER BY chi2 DESC, word LIMIT 2000)),
+pri AS (SELECT quality AS label, count(*) AS n_docs, ln(count(*) / sum(count(*)) OVER ()) AS lp FROM train GROUP BY quality)"""
+MULTI = NB + f""", occ AS (SELECT word, quality AS label, count(*) AS n FROM lab JOIN best USING (word) GROUP BY word, quality),
+full_ AS (SELECT word, label, coalesce(n, 0) AS n FROM best CROSS JOIN pri LEFT JOIN occ USING (word, label)),
+mdl AS (SELECT word, label, ln((n + 1.0::DOUBLE) / (sum(n) OVER (PARTITION BY label) + 1.0::DOUBLE * (SELECT count(*) FROM best))) AS ll FROM full_),
+hit AS (SELECT tok.doc_id, label, sum(ll) AS s FROM tok JOIN test USING (doc_id) JOIN mdl USING (word) GROUP BY tok.doc_id, label),
+sc AS (SELECT test.doc_id, pri.label, lp + coalesce(s, 0) AS score FROM test CROSS JOIN pri LEFT JOIN hit ON hit.doc_id = test.doc_id AND hit.label = pri.label)"""
+BERN = NB + """, mdl AS (SELECT word, pri.label, (coalesce(n, 0) + 1.0::DOUBLE) / (n_docs + 2) AS p FROM best CROSS JOIN pri LEFT JOIN cnt USING (word, label)),
+absent AS (SELECT label, sum(ln(1 - p)) AS a FROM mdl GROUP BY label),
+hit AS (SELECT doc_id, label, sum(ln(p) - ln(1 - p)) AS s FROM (SELECT DISTINCT tok.doc_id, word FROM tok JOIN test USING (doc_id)) JOIN mdl USING (word) GROUP BY doc_id, label),
+sc AS (SELECT test.doc_id, pri.label, lp + a + coalesce(s, 0) AS score FROM test CROSS JOIN pri JOIN absent USING (label) LEFT JOIN hit ON hit.doc_id = test.doc_id AND hit.label = pri.label)"""
+
+
+def nb_parts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    numbered = vocab.number_rows(docs.select("doc_id", "label"), "doc_id", name="rid", start=1)
+    train, test = evaluate.every_nth(stage(numbered, "nb-split"), "rid", 3)
+    words = stage(words_of(docs, "doc_id", "label"), "nb-tokens")
+    own, held = words.join(train.select("doc_id"), "doc_id", "left_semi"), words.join(test.select("doc_id"), "doc_id", "left_semi")
+    seen = stage(counts.presence(own, "doc_id", "label"), "nb-presence")
+    best = stage(bayes.select_words(seen, "label", 2000), "nb-words")
+    return own, held, test, seen, best, stage(bayes.priors(train, "label"), "nb-priors")
+
+
+def multinomial_scores(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    own, held, test, _, best, prior = nb_parts(spark, sf_dir)
+    model = bayes.train_multinomial(counts.occurrences(own, "label"), best, prior, "label")
+    return bayes.score_multinomial(test, held, model, prior, "doc_id", "label"), test
+
+
+@query("nb_multinomial", MULTI + " SELECT doc_id, label, round(score, 4) AS score FROM sc")
+def nb_multinomial(spark, sf_dir):
+    return multinomial_scores(spark, sf_dir)[0].withColumn("score", F.round("score", 4))
+
+
+@query("nb_bernoulli", BERN + " SELECT doc_id, label, round(score, 4) AS score FROM sc")
+def nb_bernoulli(spark, sf_dir):
+    _, held, test, seen, best, prior = nb_parts(spark, sf_dir)
+    model = bayes.train_bernoulli(seen, best, prior, "label")
+    return bayes.score_bernoulli(test, held, model, prior, "doc_id", "label").withColumn("score", F.round("score", 4))
+
+
+PICK = ", pick AS (SELECT doc_id, label, score, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, label) AS r FROM sc)"
+
+
+@query("nb_accuracy", MULTI + PICK + " SELECT count(*) AS n, CAST(sum(CASE WHEN pick.label = test.quality THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM pick JOIN test USING (doc_id) WHERE r = 1")
+def nb_accuracy(spark, sf_dir):
+    scores, test = multinomial_scores(spark, sf_dir)
+    return bayes.accuracy(bayes.best(scores, "doc_id", "label"), test, "doc_id", "label")
+
+
+@query("posterior_argmax", MULTI + ", e AS (SELECT doc_id, label, score, exp(score - max(score) OVER (PARTITION BY doc_id)) AS e FROM sc), p AS (SELECT doc_id, label, e / sum(e) OVER (PARTITION BY doc_id) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, label) AS r FROM e) SELECT doc_id, label, round(p, 6) AS p FROM p WHERE r = 1")
+def posterior_argmax(spark, sf_dir):
+    p = bayes.posterior(multinomial_scores(spark, sf_dir)[0], "doc_id")
+    best = bayes.best(p, "doc_id", "label")
+    return best.join(p, ["doc_id", "label"]).select("doc_id", "label", F.round("posterior", 6).alias("p"))
+
+
+SWEEP = (100, 500, 2000)
+
+
+@query("sweep_best_n", " UNION ALL ".join("SELECT * FROM (" + (MULTI + PICK).replace("LIMIT 2000", f"LIMIT {n}") + f" SELECT {n} AS n_words, count(*) AS n, CAST(sum(CASE WHEN pick.label = test.quality THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM pick JOIN test USING (doc_id) WHERE r = 1)" for n in SWEEP))
+def sweep_best_n(spark, sf_dir):
+    own, held, test, seen, _, prior = nb_parts(spark, sf_dir)
+    occurrences = stage(counts.occurrences(own, "label"), "nb-counts")
+    chi = stage(features.chi_square(seen, "label"), "nb-chi")
+    out = None
+    for n in SWEEP:
+        model = bayes.train_multinomial(occurrences, features.top(chi, n).select("word"), prior, "label")
+        best = bayes.best(bayes.score_multinomial(test, held, model, prior, "doc_id", "label"), "doc_id", "label")
+        row = bayes.accuracy(best, test, "doc_id", "label").select(F.lit(n).alias("n_words"), "n", "correct")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# ---- word pairs (conversations: a turn is a document, its role the class)
+def turn_sets(spark, sf_dir) -> DataFrame:
+    return counts.document_sets(table(spark, sf_dir, "conversations"), tokens.unicode_words(F.col("text")), "conv_id", "turn", "role")
+
+
+@query("cooc_pairs_unordered", f"WITH {CONV} SELECT role, w1, w2, count(*) AS n FROM pairs GROUP BY role, w1, w2 HAVING count(*) > 1")
+def cooc_pairs_unordered(spark, sf_dir):
+    return counts.pair_counts(counts.unordered_pairs(turn_sets(spark, sf_dir), "role"), "role", least=2)
+
+
+@query("cooc_pairs_ordered", r"""WITH t AS (SELECT conv_id, turn, role, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT *, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM conversations))
+SELECT a.role, a.word AS w1, b.word AS w2, count(*) AS n FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.pos < b.pos AND a.word <> b.word GROUP BY ALL HAVING count(*) > 2""")
+def cooc_pairs_ordered(spark, sf_dir):
+    pairs = counts.ordered_pairs(table(spark, sf_dir, "conversations"), tokens.unicode_words(F.col("text")), "role")
+    return counts.pair_counts(pairs, "role", least=3)
+
+
+SHARED = CONV + """, train AS (SELECT role, w1, w2, count(*) AS n FROM pairs GROUP BY role, w1, w2 HAVING count(*) > 1),
+wc AS (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM turns) GROUP BY word), roles AS (SELECT DISTINCT role FROM train),
+own AS (SELECT DISTINCT conv_id, p.w1, p.w2 FROM pairs p JOIN (SELECT DISTINCT w1, w2 FROM train) k ON p.w1 = k.w1 AND p.w2 = k.w2)"""
+
+
+def cooc_parts(spark, sf_dir):
+    sets = turn_sets(spark, sf_dir)
+    pairs = counts.unordered_pairs(sets, "conv_id", "role")
+    train = stage(counts.pair_counts(pairs, "role", least=2), "pairs")
+    own = stage(pairs.join(train.select("w1", "w2").distinct(), ["w1", "w2"], "left_semi").select("conv_id", "w1", "w2").distinct(), "own-pairs")
+    words = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return own, train, words, stage(train.select("role").distinct(), "roles")
+
+
+@query("cooc_score_v1", f"WITH {SHARED} SELECT conv_id, role, round(avg(-ln(coalesce(t.n, 0) / CAST(c1.n + c2.n AS DOUBLE) + 1e-10)), 6) AS score FROM own CROSS JOIN roles LEFT JOIN train t USING (role, w1, w2) JOIN wc c1 ON c1.word = own.w1 JOIN wc c2 ON c2.word = own.w2 GROUP BY conv_id, role")
+def cooc_score_v1(spark, sf_dir):
+    own, train, words, roles = cooc_parts(spark, sf_dir)
+    return cooc.score_v1(own, train, words, roles, "conv_id", "role").withColumn("score", F.round("score", 6))
+
+
+@query("cooc_score_v3", f"WITH {SHARED}, sh AS (SELECT role, w1, w2, n, n / CAST(sum(n) OVER (PARTITION BY w1, w2) AS DOUBLE) AS p FROM train) SELECT conv_id, role, round(avg(coalesce(-n * ln(p + 1e-10), -ln(1e-10))), 6) AS score FROM own CROSS JOIN roles LEFT JOIN sh USING (role, w1, w2) GROUP BY conv_id, role")
+def cooc_score_v3(spark, sf_dir):
+    own, train, _, roles = cooc_parts(spark, sf_dir)
+    return cooc.score_v3(own, train, roles, "conv_id", "role").withColumn("score", F.round("score", 6))
+
+
+@query("pair_chi_square", f"WITH {CONV}, cnt AS (SELECT w1 || ' ' || w2 AS word, role AS label, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) > 1), {CHI.format(off='(n_xi - n_ii)')} SELECT word, round(chi2, 6) AS chi2 FROM chi")
+def pair_chi_square(spark, sf_dir):
+    pairs = counts.pair_counts(counts.unordered_pairs(turn_sets(spark, sf_dir), "role"), "role", least=2)
+    named = pairs.select(F.concat_ws(" ", "w1", "w2").alias("word"), F.col("role").alias("label"), "n")
+    return features.chi_square(named, "label").withColumn("chi2", F.round("chi2", 6))
+
+
+# ---- contexts and senses
+CTX = f"""WITH {TOK}, l AS (SELECT doc_id, pos, word, lag(word, 1) OVER z AS b1, lag(word, 2) OVER z AS b2, lead(word, 1) OVER z AS a1, lead(word, 2) OVER z AS a2 FROM tok WINDOW z AS (PARTITION BY doc_id ORDER BY pos)),
+c AS (SELECT doc_id, pos, coalesce(b1, '*') AS prev, coalesce(a1, '*') AS next, word FROM l WHERE word IN ({listed(AIMS)}) AND (b1 IS NOT NULL OR a1 IS NOT NULL)
+ UNION ALL SELECT doc_id, pos, b2, b1, word FROM l WHERE word IN ({listed(AIMS)}) AND b2 IS NOT NULL
+ UNION ALL SELECT doc_id, pos, a1, a2, word FROM l WHERE word IN ({listed(AIMS)}) AND a2 IS NOT NULL)"""
+
+
+@query("context_counts", CTX + " SELECT prev, next, word, count(*) AS n FROM c GROUP BY prev, next, word")
+def context_counts(spark, sf_dir):
+    return counts.context_counts(counts.contexts(words_of(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", AIMS))
+
+
+@query("weighted_context", CTX + f", x AS (SELECT word AS aim, b1 AS word, 2 AS v FROM l WHERE word IN ({listed(AIMS)}) UNION ALL SELECT word, a1, 2 FROM l WHERE word IN ({listed(AIMS)}) UNION ALL SELECT word, b2, 1 FROM l WHERE word IN ({listed(AIMS)}) UNION ALL SELECT word, a2, 1 FROM l WHERE word IN ({listed(AIMS)})) SELECT aim, word, CAST(sum(v) AS BIGINT) AS weight FROM x WHERE word IS NOT NULL GROUP BY aim, word")
+def weighted_context(spark, sf_dir):
+    return counts.weighted_contexts(words_of(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", AIMS)
+
+
+SENSE = CTX.replace(f"word IN ({listed(AIMS)})", f"word IN ({listed(sorted({*AIMS, *(s for _, _, s in THESAURUS)}))})") + f""", th AS (SELECT * FROM (VALUES {values(THESAURUS)}) v(aim, sense, synonym)),
+cc AS (SELECT prev, next, word AS synonym, count(*) AS n FROM c GROUP BY ALL),
+occ AS (SELECT doc_id, prev, next, word AS aim FROM c WHERE word IN ({listed(AIMS)})),
+sz AS (SELECT aim, sense, count(DISTINCT synonym) AS size FROM th GROUP BY ALL),
+hit AS (SELECT doc_id, aim, sense, sum(n) AS s, count(*) AS hits FROM occ JOIN cc USING (prev, next) JOIN th USING (aim, synonym) GROUP BY ALL)
+SELECT doc_id, aim AS word, sense, round(coalesce(s * hits / CAST(size AS DOUBLE), 0), 6) AS score FROM (SELECT DISTINCT doc_id, aim FROM occ) JOIN sz USING (aim) LEFT JOIN hit USING (doc_id, aim, sense)"""
+
+
+@query("sense_scores", SENSE)
+def sense_scores(spark, sf_dir):
+    thesaurus = spark.createDataFrame(THESAURUS, "word string, sense string, synonym string")
+    triples = stage(counts.contexts(words_of(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", sorted({*AIMS, *(s for _, _, s in THESAURUS)})), "triples")
+    occurrences = triples.where(F.col("word").isin(*AIMS))
+    return senses.scores(occurrences, counts.context_counts(triples), thesaurus, ["doc_id"]).withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
+@query("sense_expand", f"""WITH {TOK}, th AS (SELECT * FROM (VALUES {values(THESAURUS)}) v(aim, sense, synonym)),
+one AS (SELECT synonym FROM th GROUP BY synonym HAVING count(DISTINCT aim || '/' || sense) = 1)
+SELECT doc_id, pos, tok.word AS synonym, th.aim AS word, sense FROM tok JOIN th ON th.synonym = tok.word JOIN one ON one.synonym = tok.word""")
+def sense_expand(spark, sf_dir):
+    thesaurus = spark.createDataFrame(THESAURUS, "word string, sense string, synonym string")
+    return senses.expand(words_of(table(spark, sf_dir, "documents"), "doc_id"), thesaurus, "doc_id")[0]
+
+
+# ---- positional features
+@query("neighbor_features", f"WITH {TOK} SELECT word, coalesce(lag(word, 1) OVER z, '*') AS b1, coalesce(lag(word, 2) OVER z, '*') AS b2, coalesce(lead(word, 1) OVER z, '*') AS a1, coalesce(lead(word, 2) OVER z, '*') AS a2, doc_id, pos FROM tok WINDOW z AS (PARTITION BY doc_id ORDER BY pos)")
+def neighbor_features(spark, sf_dir):
+    return windows.neighbours(words_of(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+
+
+@query("adjacent_bigrams", f"WITH {TOK}, n AS (SELECT lang, word AS w1, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS w2 FROM tok) SELECT lang, w1, w2, count(*) AS n FROM n WHERE w2 IS NOT NULL GROUP BY ALL")
+def adjacent_bigrams(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", tokens.unicode_words(F.col("text")).alias("ws"))
+    pairs = docs.where(F.size("ws") > 1).select("lang", F.explode(F.arrays_zip(F.slice("ws", 1, F.size("ws") - 1).alias("w1"), F.slice("ws", 2, F.size("ws")).alias("w2"))).alias("p"))
+    return pairs.groupBy("lang", F.col("p.w1").alias("w1"), F.col("p.w2").alias("w2")).agg(F.count("*").alias("n"))
+
+
+@query("bems_transitions", r"""WITH w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents)),
+t AS (SELECT doc_id, pos, unnest(range(1, length(word) + 1)) AS i, length(word) AS n FROM w),
+g AS (SELECT doc_id, pos, i, CASE WHEN n = 1 THEN 'S' WHEN i = 1 THEN 'B' WHEN i = n THEN 'E' ELSE 'M' END AS tag FROM t),
+l AS (SELECT tag, lead(tag) OVER (PARTITION BY doc_id ORDER BY pos, i) AS next_tag FROM g),
+c AS (SELECT tag, next_tag, count(*) AS n FROM l WHERE next_tag IS NOT NULL GROUP BY ALL)
+SELECT tag, next_tag, n, round(n / CAST(sum(n) OVER (PARTITION BY tag) AS DOUBLE), 9) AS share FROM c""")
+def bems_transitions(spark, sf_dir):
+    return windows.transitions(table(spark, sf_dir, "documents"), tokens.unicode_words(F.col("text")))
+
+
+@query("char_window7", r"""WITH b AS (SELECT '###' || text || '###' AS t, length(text) AS n FROM documents), f AS (SELECT substr(t, CAST(i AS BIGINT), 7) AS frame FROM (SELECT t, unnest(range(1, n + 1)) AS i FROM b))
+SELECT frame, count(*) AS n FROM f GROUP BY frame""")
+def char_window7(spark, sf_dir):
+    framed = windows.frames(table(spark, sf_dir, "documents"), F.col("text"), 3, 3, "#")
+    return framed.groupBy("frame").agg(F.count("*").alias("n"))
+
+
+@query("next_char8", r"""WITH b AS (SELECT '########' || text AS t, length(text) AS n FROM conversations), f AS (SELECT substr(t, CAST(i AS BIGINT), 8) AS history, substr(t, CAST(i AS BIGINT) + 8, 1) AS next FROM (SELECT t, unnest(range(1, n + 1)) AS i FROM b)),
+c AS (SELECT history, next, count(*) AS n FROM f GROUP BY ALL)
+SELECT history, next, n, round(n / CAST(sum(n) OVER (PARTITION BY history) AS DOUBLE), 9) AS p FROM c""")
+def next_char8(spark, sf_dir):
+    seen = windows.histories(table(spark, sf_dir, "conversations"), F.col("text"), 8, "#")
+    return neural.next_character_model(seen).withColumn("p", F.round("p", 9))
+
+
+ENDS = r"""SELECT doc_id, k, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, '{k}' AS k, {e} AS ws FROM documents)"""
+BARE = r"array_to_string(regexp_extract_all(lower(text), '\p{L}+'), '')"
+PIECES = "regexp_extract_all(" + BARE + ", '(?s)" + "|".join(sorted((w for w, _ in LEXICON), key=lambda w: (-len(w), w))) + "|.')"
+
+
+@query("seg_score", "WITH a AS (" + ENDS.format(k="t", e=r"regexp_extract_all(lower(text), '\p{L}+')") + " UNION ALL " + ENDS.format(k="o", e=PIECES) + """), s AS (SELECT doc_id, k, sum(length(word)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop, length(word) AS n FROM a),
+h AS (SELECT (SELECT count(*) FROM s WHERE k = 't') AS n_truth, (SELECT count(*) FROM s WHERE k = 'o') AS n_output, (SELECT count(*) FROM s x JOIN s y ON x.k = 't' AND y.k = 'o' AND x.doc_id = y.doc_id AND x.stop = y.stop AND x.n = y.n) AS n_right)
+SELECT n_truth, n_output, n_right, round(n_right / CAST(n_truth AS DOUBLE), 9) AS recall, round(n_right / CAST(n_output AS DOUBLE), 9) AS precision, round(2 * (n_right / CAST(n_output AS DOUBLE)) * (n_right / CAST(n_truth AS DOUBLE)) / (n_right / CAST(n_output AS DOUBLE) + n_right / CAST(n_truth AS DOUBLE)), 9) AS f FROM h""")
+def seg_score(spark, sf_dir):
+    words = tokens.unicode_words(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select(words.alias("truth"), tokens.longest_match(F.array_join(words, ""), [w for w, _ in LEXICON]).alias("output"))
+    return evaluate.segmentation_score(rows, "truth", "output")
+
+
+@query("entity_merge", f"""WITH {TOK}, g AS (SELECT doc_id, pos, word, CASE WHEN word IN ({listed(STOP)}) THEN 'nr' ELSE 'n' END AS tag FROM tok),
+r AS (SELECT *, sum(CASE WHEN tag = 'nr' AND p = 'nr' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, lag(tag) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM g))
+SELECT doc_id, min(pos) AS first_pos, string_agg(word, '' ORDER BY pos) AS word, any_value(tag) AS tag FROM r GROUP BY doc_id, run""")
+def entity_merge(spark, sf_dir):
+    tagged = words_of(table(spark, sf_dir, "documents"), "doc_id").withColumn("tag", F.when(F.col("word").isin(*STOP), "nr").otherwise("n"))
+    return ner.merge_entities(tagged, "doc_id")
+
+
+# ---- vectors
+@query("cosine_topk", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, r.vec_id AS id, round(list_dot_product(q.e, r.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(r.e, r.e))), 6) AS cosine FROM v q JOIN v r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS INTEGER) AS rank FROM p) SELECT query_id, id, cosine, rank FROM k WHERE rank <= 7""")
+def cosine_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return retrieval.cosine_top(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", 7)
+
+
+@query("embedding_pairs_dot", """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT label, unnest(range(1, 65)) AS i, unnest(e) AS x FROM v), m AS (SELECT label, i, avg(x) AS x FROM c GROUP BY ALL)
+SELECT a.label AS l1, b.label AS l2, round(sum(a.x * b.x), 6) AS dot FROM m a JOIN m b ON a.i = b.i AND a.label < b.label GROUP BY ALL""")
+def embedding_pairs_dot(spark, sf_dir):
+    each = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    mean = each.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
+    other = mean.select(F.col("label").alias("l2"), F.col("v").alias("v2"))
+    return mean.join(other, F.col("label") < F.col("l2")).select(F.col("label").alias("l1"), "l2", F.round(strings.dot(F.col("v"), F.col("v2")), 6).alias("dot"))
+
+
+# ---- segmenters (our own lexicon and HMM)
+def own_lexicon() -> segment.Lexicon:
+    return segment.Lexicon.of([(w, n, "n") for w, n in LEXICON])
+
+
+def own_hmm() -> segment.Hmm:
+    return segment.train_hmm([["我", "喜欢", "城市"], ["天气", "很", "好"], ["the", "tion", "ing"], ["eau", "x", "ment"], ["ent", "er", "in"], ["é", "toile"], ["über", "all"]])
+
+
+def segmented(spark, sf_dir, method: str) -> DataFrame:
+    cut = segment.segment(spark, method, own_lexicon(), own_hmm())
+    return table(spark, sf_dir, "documents").select("doc_id", cut(F.lower("text")).alias("words"))
+
+
+@query("mp_segment")
+def mp_segment(spark, sf_dir):
+    return segmented(spark, sf_dir, "mp").select("doc_id", F.size("words").alias("n_words"), F.sha2(F.array_join("words", "\u0001"), 256).alias("words_sha256"))
+
+
+@query("mix_segment")
+def mix_segment(spark, sf_dir):
+    return segmented(spark, sf_dir, "mix").select("doc_id", F.size("words").alias("n_words"), F.sha2(F.array_join("words", "\u0001"), 256).alias("words_sha256"))
+
+
+@query("full_segment")
+def full_segment(spark, sf_dir):
+    return segmented(spark, sf_dir, "full").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+# ---- iterative models
+@query("maxent_gis")
+def maxent_gis(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    words = stage(words_of(docs, "doc_id", "label"), "maxent-tokens")
+    best = stage(bayes.select_words(counts.presence(words, "doc_id", "label"), "label", 200), "maxent-words")
+    own = tokens.keep_words(words, best)
+    model = maxent.train_gis(own, docs.select("doc_id", "label"), "doc_id", "label", rounds=5)
+    p = maxent.predict(own, docs.select("doc_id", "label"), model, "doc_id", "label")
+    return p.select("doc_id", "label", F.round("p", 6).alias("p"))
+
+
+@query("logreg_sentiment")
+def logreg_sentiment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    featured, _ = topics.vectors(docs, tokens.unicode_words(F.col("text")), size=2000)
+    model = maxent.logistic(featured)
+    return model.transform(featured).select("doc_id", "label", "prediction")
+
+
+@query("lda_topics")
+def lda_topics(spark, sf_dir):
+    featured, words = topics.vectors(table(spark, sf_dir, "documents").select("doc_id", "text"), tokens.unicode_words(F.col("text")), size=2000, least=2.0)
+    return topics.topic_words(topics.lda(featured, topics=8, rounds=5), words.vocabulary)
+
+
+@query("labeled_lda")
+def labeled_lda(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"), F.array("role").alias("labels"), tokens.unicode_words(F.col("text")).alias("words"))
+    phi, _ = topics.labeled_lda(turns, "doc_id", "labels", "words", sweeps=1)
+    return features.top_per(phi.withColumn("phi", F.round("phi", 9)), ["label"], "phi", 10)
+
+
+@query("lsi_search")
+def lsi_search(spark, sf_dir):
+    weights = stage(tfidf(spark, sf_dir), "tfidf")
+    projected, _, _ = retrieval.lsi(weights, "doc_id", topics=20, words=256)
+    rows = stage(projected, "lsi")
+    return retrieval.cosine_top(rows.where("doc_id % 20 = 0"), rows, "doc_id", "vector", 7)
+
+
+# ---- streams
+@query("stream_scores", rf"""SELECT conv_id, turn, CAST(len(ws) AS INTEGER) AS n_tokens, CAST(len(list_filter(ws, lambda x: x IN ({listed(POSITIVE)}))) - len(list_filter(ws, lambda x: x IN ({listed(NEGATIVE)}))) AS INTEGER) AS score
+FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '\p{{L}}+') AS ws FROM conversations)""")
+def stream_scores(spark, sf_dir):
+    from wordmill.plans.staging import shared_folder
 
-def queries() -> dict:
-    return {}
+    base = f"{shared_folder(spark)}/stream-{__import__('uuid').uuid4().hex}"
+    static = table(spark, sf_dir, "conversations")
+    source = f"{base}/in"
+    static.write.parquet(source)
+    stream = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    apply = lambda rows: scoring.score_with_lists(rows, POSITIVE, NEGATIVE).select("conv_id", "turn", "n_tokens", "score")
+    scoring.score_stream(stream, apply, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema("conv_id long, turn long, n_tokens int, score int").parquet(f"{base}/out").drop("batch")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
