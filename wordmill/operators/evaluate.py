@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def hash_split(rows: DataFrame, key: str, share: float, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -18,21 +19,28 @@ def every_nth(rows: DataFrame, key: str, n: int = 30) -> tuple[DataFrame, DataFr
     return rows.where(~held), rows.where(held)
 
 
-def segmentation_score(rows: DataFrame, truth: str, output: str, known: DataFrame | None = None) -> DataFrame:
-    """One row: n_truth, n_output, n_right, recall, precision, f (and oov_rate, oov_recall, iv_recall for
-    known words). Words are right where their spans are equal; full-width spaces count as blanks."""
-    clean = lambda c: F.filter(F.transform(F.col(c), lambda w: F.replace(w, F.lit("　"), F.lit(""))), lambda w: w != "")
-    from wordmill.operators.segment import span_ends
+def spans(rows: DataFrame, key: str, words: str) -> DataFrame:
+    """(key, word, start, stop) of the words of each row in their joined text; full-width spaces count as blanks."""
+    clean = F.filter(F.transform(F.col(words), lambda w: F.replace(w, F.lit("\u3000"), F.lit(""))), lambda w: w != "")
+    each = rows.select(key, F.posexplode(clean).alias("pos", "word"))
+    stop = F.sum(F.char_length("word")).over(Window.partitionBy(key).orderBy("pos"))
+    return each.withColumn("stop", stop).select(key, "word", (F.col("stop") - F.char_length("word")).alias("start"), "stop")
+
 
-    both = rows.select(clean(truth).alias("t"), clean(output).alias("o")).select("t", F.when(F.size("t") > 0, span_ends(F.col("t"))).otherwise(F.array()).alias("ts"), F.when(F.size("o") > 0, span_ends(F.col("o"))).otherwise(F.array()).alias("os"))
-    hits = both.select(F.size("ts").alias("nt"), F.size("os").alias("no"), F.size(F.array_intersect("ts", "os")).alias("ok"), "t", "ts", "os")
-    total = hits.agg(F.sum("nt").alias("n_truth"), F.sum("no").alias("n_output"), F.sum("ok").alias("n_right"))
+def segmentation_score(rows: DataFrame, key: str, truth: str, output: str, known: DataFrame | None = None) -> DataFrame:
+    """One row: n_truth, n_output, n_right, recall, precision, f (and oov_rate, oov_recall, iv_recall for
+    known words). Words are right where their spans are equal."""
+    want = spans(rows, key, truth)
+    got = spans(rows, key, output).select(key, "start", "stop", F.lit(1).alias("got"))
+    both = want.select(key, "start", "stop", "word").join(got, [key, "start", "stop"], "full")
+    ok = F.col("word").isNotNull() & F.col("got").isNotNull()
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    total = both.agg(count(F.col("word").isNotNull()).alias("n_truth"), count(F.col("got").isNotNull()).alias("n_output"), count(ok).alias("n_right"))
     r, p = F.col("n_right") / F.col("n_truth"), F.col("n_right") / F.col("n_output")
     scored = total.withColumn("recall", F.round(r, 9)).withColumn("precision", F.round(p, 9)).withColumn("f", F.round(2 * p * r / (p + r), 9))
     if known is None:
         return scored
-    words = hits.select(F.explode(F.zip_with("t", "ts", lambda w, s: F.struct(w.alias("word"), s.alias("span")))).alias("x"), "os").select("x.word", F.array_contains("os", F.col("x.span")).alias("ok"))
-    marked = words.join(known.select("word").distinct().withColumn("iv", F.lit(True)), "word", "left")
+    marked = both.where("word is not null").withColumn("ok", ok).join(known.select("word").distinct().withColumn("iv", F.lit(True)), "word", "left")
     oov = F.col("iv").isNull()
     rates = marked.agg(F.avg(oov.cast("double")).alias("oov_rate"), F.avg(F.when(oov, F.col("ok").cast("double"))).alias("oov_recall"), F.avg(F.when(~oov, F.col("ok").cast("double"))).alias("iv_recall"))
     return scored.crossJoin(rates)  # one row each

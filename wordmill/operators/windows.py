@@ -36,7 +36,8 @@ def characters(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
 def frames(docs: DataFrame, text: Column, before: int, after: int, pad: str, *keep: str) -> DataFrame:
     """keep, pos, frame: the characters around each position, padded; made inside the row (no shuffle)."""
     padded = F.concat(F.lit(pad * before), text, F.lit(pad * after))
-    every = F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda i: F.substring(padded, i, F.lit(before + after + 1)))
+    # a look-ahead matches at every character, so overlapping frames come from one pass over the text
+    every = F.regexp_extract_all(padded, F.lit(rf"(?=([\s\S]{{{before + after + 1}}}))"), F.lit(1))
     made = docs.where(F.char_length(text) > 0).select(*keep, F.posexplode(every).alias("pos", "frame"))
     return made.withColumn("pos", F.col("pos") + 1)
 

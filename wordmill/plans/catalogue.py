@@ -421,8 +421,8 @@ h AS (SELECT (SELECT count(*) FROM s WHERE k = 't') AS n_truth, (SELECT count(*)
 SELECT n_truth, n_output, n_right, round(n_right / CAST(n_truth AS DOUBLE), 9) AS recall, round(n_right / CAST(n_output AS DOUBLE), 9) AS precision, round(2 * (n_right / CAST(n_output AS DOUBLE)) * (n_right / CAST(n_truth AS DOUBLE)) / (n_right / CAST(n_output AS DOUBLE) + n_right / CAST(n_truth AS DOUBLE)), 9) AS f FROM h""")
 def seg_score(spark, sf_dir):
     words = tokens.unicode_words(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select(words.alias("truth"), tokens.longest_match(F.array_join(words, ""), [w for w, _ in LEXICON]).alias("output"))
-    return evaluate.segmentation_score(rows, "truth", "output")
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("truth"), tokens.longest_match(F.array_join(words, ""), [w for w, _ in LEXICON]).alias("output"))
+    return evaluate.segmentation_score(rows, "doc_id", "truth", "output")
 
 
 @query("entity_merge", f"""WITH {TOK}, g AS (SELECT doc_id, pos, word, CASE WHEN word IN ({listed(STOP)}) THEN 'nr' ELSE 'n' END AS tag FROM tok),
