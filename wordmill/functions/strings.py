@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def split_any(text: Column, delimiters: str, limit: int = -1) -> Column:
     """Split at any of the characters, trim each piece, drop a trailing empty piece."""
-    parts = F.transform(F.split(text, "[" + re.escape(delimiters) + "]", limit), F.trim)
+    parts = F.transform(F.split(text, "[" + re.escape(delimiters) + "]", limit), lambda p: F.trim(p))
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
