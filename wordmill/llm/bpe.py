@@ -13,6 +13,7 @@ repeated rows, null ids and further columns are carried through unchanged.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import struct
@@ -28,12 +29,14 @@ from wordmill.llm.common import slices, utf8
 
 NEVER = 1 << 30
 #: Entries after which a worker's cache starts a new generation, and the longest chunk that is kept.
-CACHE_ENTRIES, CACHE_KEY = 150_000, 64
+CACHE_ENTRIES, CACHE_KEY = 60_000, 64
 PAIR_ENTRIES = 400_000
 
 #: The split pattern of the word-level vocabulary, for code points below U+0300.
 ASCII_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 LATIN_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: ASCII signs that are a word of their own at the end of a chunk of letters.
+ENDS = frozenset(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 #: Chunks of these need no composition and have no white space of Unicode in them.
 ASCII_SAFE = re.compile(rb"[!-~]+")
 LATIN_SAFE = re.compile("[!-~¡-˿]+")
@@ -50,18 +53,26 @@ class Vocabulary:
     """Merges of a byte-level BPE file with word ends, and which tokens can stand side by side."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        model, symbols = spec["model"], byte_symbols()
-        end = model["end_of_word_suffix"]
-        as_byte = {c: b for b, c in enumerate(symbols)}
-        ids: dict[str, int] = model["vocab"]
+        self.path, self.library = path, None
+        spec = self._read()
+        ids: dict[str, int] = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        size = max([*ids.values(), *self.special.values()]) + 1
-        self.content: list[str] = [""] * size
+        self.content: list[str] = [""] * (max([*ids.values(), *self.special.values()]) + 1)
         for text, i in [*ids.items(), *self.special.items()]:
             self.content[i] = text
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.to_bytes = {c: b for b, c in enumerate(byte_symbols())}.__getitem__
+        self.inner: dict[bytes, int] = {}
+
+    def _read(self) -> dict:
+        with open(self.path, encoding="utf-8") as file:
+            return json.load(file)
+
+    def _prepare(self) -> None:
+        """The tables that encode_words() needs."""
+        model, size = self._read()["model"], len(self.content)
+        ids, end = model["vocab"], model["end_of_word_suffix"]
+        as_byte = {c: b for b, c in enumerate(byte_symbols())}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank: dict[int, int] = {}
         parts: dict[int, tuple[int, int]] = {}
@@ -83,16 +94,12 @@ class Vocabulary:
         for whole in sorted(parts, key=born.__getitem__):
             left, right = parts[whole]
             reached[whole] = reached[left] and reached[right] and self._meet(left, right, born[whole]) is None
-        self.inner: dict[bytes, int] = {}
         self.final: dict[bytes, int] = {}
         for text, i in ids.items():
             body = text.removesuffix(end) if text != end and text.endswith(end) else text
             if reached[i] and all(c in as_byte for c in body):
                 (self.inner if body is text else self.final)[bytes(map(as_byte.__getitem__, body))] = i
         self.inner_lengths, self.final_lengths = self._lengths(self.inner), self._lengths(self.final)
-        self.to_bytes = as_byte.__getitem__
-        self.library = None
-        self.path = path
 
     @staticmethod
     def _lengths(table: dict[bytes, int]) -> dict[bytes, tuple[int, ...]]:
@@ -131,6 +138,8 @@ class Vocabulary:
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
         """Ids of distinct words (not empty). Depth-first over their trie; last[n] is the last
         token of the path's first n bytes, kept for the next word as far as the prefix is shared."""
+        if not self.inner:
+            self._prepare()
         out: dict[bytes, tuple[int, ...]] = {}
         apart, stay_apart = self.apart, self.stay_apart
         inner, final, inner_lengths, final_lengths = self.inner, self.final, self.inner_lengths, self.final_lengths
@@ -177,7 +186,12 @@ class Vocabulary:
             return ASCII_WORDS.findall(chunk.lower())
         text = chunk.decode()
         if LATIN_SAFE.fullmatch(text):
-            return [w.encode() for w in LATIN_WORDS.findall(text.lower())]
+            text = text.lower()
+            if text.isalpha():
+                return [text.encode()]
+            if chunk[-1:] in ENDS and text[:-1].isalpha():
+                return [text[:-1].encode(), chunk[-1:]]
+            return [w.encode() for w in LATIN_WORDS.findall(text)]
         if self.library is None:
             from tokenizers import Tokenizer
 
@@ -203,18 +217,16 @@ class Generations(dict):
         super().__init__()
         self.entries, self.old = entries, {}
 
-    def missing(self, keys: Iterable[bytes]) -> list[bytes]:
-        """The distinct keys whose values are not known; makes room first, and keeps the known ones."""
+    def missing(self, keys: set[bytes]) -> set[bytes]:
+        """The keys whose values are not known; makes room first, and keeps the known ones."""
         if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
-        out = []
-        for key in {*keys}.difference(self):
-            kept = self.old.get(key)
-            if kept is None:
-                out.append(key)
-            else:
-                self[key] = kept
+        out = keys.difference(self)
+        if self.old:
+            for key in (kept := out.intersection(self.old)):
+                self[key] = self.old[key]
+            out -= kept
         return out
 
 
@@ -226,35 +238,54 @@ class Encoder:
         self.encode_words = encode_words or self.vocabulary.encode_words
         self.chunks, self.known = Generations(), Generations()
 
-    def learn(self, chunks: Iterable[bytes]) -> None:
+    def words(self, chunk: bytes) -> list:
+        """Words of a chunk; special tokens in it as their ids."""
+        special, split = self.vocabulary.special, self.vocabulary.special_split
+        if split is None or b"<" not in chunk or len(pieces := split.split(chunk.decode())) == 1:
+            return self.vocabulary.words(chunk)
+        return [p for piece in pieces if piece for p in ([special[piece]] if piece in special else self.vocabulary.words(piece.encode()))]
+
+    def learn(self, chunks: set[bytes]) -> None:
         """Encode the chunks that are new, all their new words in one trie."""
-        special, split, words = self.vocabulary.special, self.vocabulary.special_split, self.vocabulary.words
-        new: list[tuple[bytes, list]] = []
+        single: list[tuple[bytes, bytes]] = []
+        several: list[tuple[bytes, list]] = []
         for chunk in self.chunks.missing(chunks):
-            if split is not None and b"<" in chunk and len(pieces := split.split(chunk.decode())) > 1:
-                parts: list = []
-                for piece in pieces:
-                    parts.extend([special[piece]] if piece in special else words(piece.encode()) if piece else [])
-                new.append((chunk, parts))
+            if chunk.isalpha():
+                single.append((chunk, chunk.lower()))
+            elif chunk[-1:] in ENDS and chunk[:-1].isalpha():
+                several.append((chunk, [chunk[:-1].lower(), chunk[-1:]]))
             else:
-                new.append((chunk, words(chunk)))
-        known = self.known
-        coded = self.encode_words(known.missing([p for _, parts in new for p in parts if p.__class__ is bytes]))
-        for w, x in coded.items():
+                words = self.words(chunk)
+                if len(words) == 1 and words[0].__class__ is bytes:
+                    single.append((chunk, words[0]))
+                else:
+                    several.append((chunk, words))
+        known, code = self.known, self.chunks
+        wanted = {w for _, w in single}
+        wanted.update(p for _, parts in several for p in parts if p.__class__ is bytes)
+        for w, x in self.encode_words(known.missing(wanted)).items():
             known[w] = struct.pack(f"<{len(x)}I", *x)
-        for chunk, parts in new:
-            self.chunks[chunk] = known[parts[0]] if len(parts) == 1 and parts[0].__class__ is bytes else b"".join([known[p] if p.__class__ is bytes else struct.pack("<I", p) for p in parts])
+        for chunk, word in single:
+            code[chunk] = known[word]
+        for chunk, parts in several:
+            code[chunk] = b"".join([known[p] if p.__class__ is bytes else struct.pack("<I", p) for p in parts])
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
-        chunks = [t.split() for t in texts]
-        self.learn([c for each in chunks for c in each])
-        code = self.chunks.__getitem__
-        out = [b"".join(map(code, each)) for each in chunks]
-        for cache in (self.chunks, self.known):  # long keys would hold much memory
-            for c in [c for c in cache if len(c) > CACHE_KEY]:
-                del cache[c]
-        return out
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and the collector would walk the caches again and again
+        try:
+            chunks = [t.split() for t in texts]
+            self.learn(set().union(*chunks))
+            code = self.chunks.__getitem__
+            out = [b"".join(map(code, each)) for each in chunks]
+            for cache in (self.chunks, self.known):  # long keys would hold much memory
+                for c in [c for c in cache if len(c) > CACHE_KEY]:
+                    del cache[c]
+            return out
+        finally:
+            if collects:
+                gc.enable()
 
 
 @lru_cache(maxsize=4)
