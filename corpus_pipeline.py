@@ -16,6 +16,8 @@ from wordmill.llm.queries import tokenizer
 
 #: A document goes if it has no letters or no text, or if no language scores this much.
 LEAST_SCORE = 0.25
+#: Fingerprints of a document in the near-dedup stage.
+PRINTS = 8
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,11 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (operator 6)."""
-    return simhash.keep_one(docs)
+    """Keep one document of each group of near copies (operator 6).
+
+    Five-word shingles; PRINTS independent fingerprints, since one alone links few pairs that are
+    similar by 0.8 to 0.95 (see the README for the shares)."""
+    return simhash.keep_one(docs, words=5, prints=PRINTS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

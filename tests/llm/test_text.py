@@ -128,7 +128,7 @@ def test_pipeline(spark):
     for d, r in kept.items():
         groups[re.sub(r"[\x20\x09-\x0D]", "", r["text"])].append((-len(r["text"]), d))
     left = sorted(min(g)[1] for g in groups.values())
-    prints = {d: simhash.fingerprint(kept[d]["text"].encode(), 5) for d in left}
+    prints = {d: simhash.prints_of(kept[d]["text"].encode(), 5, corpus_pipeline.PRINTS) for d in left}
     seen = []
     parent = {d: d for d in left}
 
@@ -139,7 +139,7 @@ def test_pipeline(spark):
 
     for d in left:
         for e in seen:
-            if (prints[d] ^ prints[e]).bit_count() <= 4:
+            if any((a ^ b).bit_count() <= 4 for a, b in zip(prints[d], prints[e], strict=True)):
                 parent[max(root(d), root(e))] = min(root(d), root(e))
         seen.append(d)
     single = [d for d in left if root(d) == d]

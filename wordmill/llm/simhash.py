@@ -41,39 +41,58 @@ BLOCK, PART = 1 << 20, 1 << 22
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 TO_LOWER = bytes.maketrans(UPPER, LOWER)
+#: Room for a part's leading bits below the number of its print.
+LEAD_BITS = 32
 #: Shingles whose bits are counted at a time.
 COUNTED = 1 << 14
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
-    """SimHash of a text (UTF-8): bit set if set in over half of the shingles' XXH64 hashes."""
+def remixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Independent hashes for the print of that number; those of print 0 are the given ones."""
+    if not number:
+        return hashes
+    x = hashes + np.uint64(number * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
+    count = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), COUNTED):
+        count += np.unpackbits(hashes[at : at + COUNTED].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def prints_of(text: bytes, words: int = 4, prints: int = 1) -> list[int]:
+    """SimHashes of a text (UTF-8), the first from the shingles' XXH64 hashes, further ones from remixed hashes."""
     parts = text.translate(TO_LOWER).split()  # bytes.split() cuts at just [\x20\x09-\x0D]
     if not parts:
-        return 0
+        return [0] * prints
     joined = b" ".join(parts)
-    n = len(parts) - words + 1
-    if n <= 1:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    n = max(1, len(parts) - words + 1)
     ends = np.cumsum([len(p) + 1 for p in parts])
     starts = [0, *ends[: n - 1].tolist()]
-    stops = (ends[words - 1 :] - 1).tolist()
+    stops = (ends[min(words, len(parts)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
-    count = np.zeros(BITS, np.int64)
-    for at in range(0, n, COUNTED):
-        count += np.unpackbits(hashes[at : at + COUNTED].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(count * 2 > n, bitorder="little").view(np.uint64)[0])
+    return [majority(remixed(hashes, i)) for i in range(prints)]
+
+
+def fingerprint(text: bytes, words: int = 4) -> int:
+    return prints_of(text, words)[0]
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """doc_id long, fp long (the fingerprint's bits). One scan, no shuffle."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, prints: int = 1) -> DataFrame:
+    """doc_id long, fp long (the first fingerprint's bits), fps array<long> (all of them). One scan, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
-            made = np.array([fingerprint(t, words) for t in utf8(piece.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(made)], names=["doc_id", "fp"])
+            made = np.array([prints_of(t, words, prints) for t in utf8(piece.column(1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(made[:, 0]), pa.array(list(made), pa.list_(pa.int64()))], names=["doc_id", "fp", "fps"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, fps array<long>")
 
 
 @lru_cache(maxsize=256)
@@ -135,23 +154,27 @@ def leading_bits(count: int, radius: int, part: int = PART) -> int:
 
 
 def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
-    """Spanning links (a long, b long: fingerprints) of distinct fingerprints (fp long) within distance bits."""
+    """Spanning links (print int; a, b long) of distinct fingerprints (print int, fp long) within
+    distance bits in the same print."""
     radius = (distance + 1) // 2
     if 2 * radius != distance:
         raise ValueError("meeting in the middle takes an even distance")
-    lead = leading_bits(distinct.count(), radius)
+    sizes = distinct.groupBy("print").agg(F.count("*").alias("n")).collect()  # a row for each print
+    lead = leading_bits(max((r["n"] for r in sizes), default=0), radius)
     masks = flips(range(lead), radius).astype(np.int64).tolist()
     own = F.shiftrightunsigned("fp", BITS - lead)
-    sent = distinct.select("fp", F.explode(F.transform(F.lit(masks).cast("array<bigint>"), lambda m: m.bitwiseXOR(own))).alias("part"))
+    parts = F.transform(F.lit(masks).cast("array<bigint>"), lambda m: m.bitwiseXOR(own) + F.shiftleft(F.col("print").cast("long"), LEAD_BITS))
+    sent = distinct.select("fp", F.explode(parts).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
 
         def ended() -> Iterator[pa.RecordBatch]:
-            found = forest(np.concatenate(held).view(np.uint64), lead, part, radius)
+            found = forest(np.concatenate(held).view(np.uint64), lead, part & ((1 << LEAD_BITS) - 1), radius)
             if found:
                 both = np.array(found, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+                number = pa.array(np.full(len(both), part >> LEAD_BITS, np.int32))
+                yield pa.RecordBatch.from_arrays([number, pa.array(both[:, 0]), pa.array(both[:, 1])], names=["print", "a", "b"])
 
         for batch in batches:
             fps, parts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -168,7 +191,7 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
             yield from ended()
 
     many = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return sent.repartition(max(many, min(1 << lead, 1 << 16)), "part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
+    return sent.repartition(max(many, min(len(sizes) << lead, 1 << 16)), "part").sortWithinPartitions("part").mapInArrow(run, "print int, a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,11 +212,23 @@ def components(edges: DataFrame) -> DataFrame:
             return label.where("node <> l").select("node", F.col("l").alias("root"))
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """doc_id, fp long, component_id (least doc_id reachable by links, itself included), for every row."""
-    rows = stage(fingerprints(docs, key, text, words), "simhash")
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, prints: int = 1) -> DataFrame:
+    """doc_id, fp long, component_id (least doc_id reachable by links, itself included), for every row.
+
+    Documents are linked if any of their prints is within distance bits. The nodes are the first
+    fingerprints; a further print's fingerprint stands for the least first fingerprint it goes with."""
+    rows = stage(fingerprints(docs, key, text, words, prints), "simhash")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(classes.select("fp"), distance))
+    if prints == 1:
+        edges = links(classes.select(F.lit(0).alias("print"), "fp"), distance).select("a", "b")
+    else:
+        each = rows.select(F.col("fp").alias("node"), F.posexplode("fps").alias("print", "fp")).distinct()
+        least = stage(each.groupBy("print", "fp").agg(F.min("node").alias("rep")), "simhash-prints")
+        equal = each.join(least, ["print", "fp"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        left, right = (least.select("print", F.col("fp").alias(c), F.col("rep").alias(f"{c}r")) for c in "ab")
+        found = links(least.select("print", "fp"), distance).join(left, ["print", "a"]).join(right, ["print", "b"]).where("ar <> br")
+        edges = equal.unionByName(found.select(F.col("ar").alias("a"), F.col("br").alias("b")))
+    roots = components(edges)
     # the component's name: the least id over the classes of its fingerprints
     of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     of = stage(of, "classes")
@@ -202,10 +237,10 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     return rows.join(named, rows["fp"] == named["f"]).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4, prints: int = 1) -> DataFrame:
     """One row of each component stays: that of the component's id (of equal ids, one)."""
-    marks = near_dedup(docs, key, text, words, distance)
-    stay = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
+    marks = near_dedup(docs, key, text, words, distance, prints)
+    stay = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(stay, docs[f"`{key}`"].eqNullSafe(F.col("__id")), "left_semi")
     one = F.row_number().over(Window.partitionBy(F.col(f"`{key}`")).orderBy(F.xxhash64(F.col(text))))
     return kept.withColumn("__one", one).where(F.col("__one") == 1).drop("__one")
