@@ -278,3 +278,16 @@ def pos_tag(tokens: DataFrame, lexicon: DataFrame, compat: bool = False) -> Data
     rule = F.when(F.char_length(seen) == 0, "x").when(seen.rlike(r"^[0-9.]+$"), "m").when(seen.rlike(r"^[\x00-\x7F]+$"), "eng").otherwise("x")
     known = lexicon.select("word", F.col("tag").alias("__tag")).dropDuplicates(["word"])
     return tokens.join(known, "word", "left").withColumn("tag", F.coalesce(F.nullif(F.col("__tag"), F.lit("")), rule)).drop("__tag")
+
+
+def register_all_segmentations(spark: SparkSession, lexicon: Lexicon, name: str = "all_segmentations", most: int = 10_000) -> None:
+    """A table function name(text): a row (words array<string>) for each way to cut a text."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="words: array<string>")
+    class Cut:
+        def eval(self, text: str):
+            for words in all_segmentations(text or "", lexicon, most):
+                yield (words,)
+
+    spark.udtf.register(name, Cut)

@@ -62,3 +62,22 @@ def expand_again(tokens: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy("pos")
     five = tokens.select(key, F.concat_ws(" ", F.lag("word", 2).over(w), F.lag("word", 1).over(w), "word", F.lead("word", 1).over(w), F.lead("word", 2).over(w)).alias("phrase"), F.lag("word", 2).over(w).alias("b"), F.lead("word", 2).over(w).alias("a"))
     return five.where("a is not null and b is not null").join(phrases, "phrase").select(key, "word", "sense").distinct()
+
+
+def evidence(occurrences: DataFrame, counts: DataFrame, thesaurus: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, word, sense, synonym, prev, next, n): the context counts that speak for each sense."""
+    synonyms = thesaurus.where("synonym <> word").select("word", "sense", "synonym").distinct()
+    found = occurrences.join(counts.select("prev", "next", F.col("word").alias("synonym"), "n"), ["prev", "next"])
+    return found.join(synonyms, ["word", "synonym"]).select(*keys, "word", "sense", "synonym", "prev", "next", "n")
+
+
+def evaluate(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """One row (n, good): predictions that are undefined or missing are left out."""
+    known = predicted.where(F.col("sense").isNotNull() & (F.col("sense") != UNDEFINED))
+    joined = known.join(truth.select(*keys, "word", F.col("sense").alias("truth")), [*keys, "word"])
+    return joined.agg(F.count("*").alias("n"), F.sum((F.col("sense") == F.col("truth")).cast("long")).alias("good"))
+
+
+def expand_inverted(thesaurus: DataFrame) -> DataFrame:
+    """(synonym, words): the head words of each synonym."""
+    return thesaurus.groupBy("synonym").agg(F.array_sort(F.collect_set("word")).alias("words"))

@@ -72,3 +72,9 @@ def length_ok(text: Column, least: int | None = None, most: int | None = None, i
     if most is not None:
         ok = ok & (size <= most)
     return F.coalesce(ok, F.lit(False))
+
+
+def stop_list(stop: DataFrame, targets: DataFrame, extra: list[str] = ()) -> DataFrame:
+    """(word): stop words that are no targets, and some more."""
+    more = stop.sparkSession.createDataFrame([(w,) for w in extra], "word string")
+    return stop.select("word").join(targets.select("word"), "word", "left_anti").unionByName(more).distinct()

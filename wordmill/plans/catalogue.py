@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordmill.functions import chars, strings
-from wordmill.operators import bayes, cooc, counts, evaluate, features, maxent, ner, neural, retrieval, segment, senses, tokens, topics, vocab, windows
+from wordmill.operators import bayes, cooc, counts, evaluate, features, maxent, models, ner, neural, retrieval, segment, senses, tokens, topics, vocab, windows
 from wordmill.plans.staging import stage
 from wordmill.streaming import scoring
 
@@ -520,6 +520,33 @@ def lsi_search(spark, sf_dir):
     return retrieval.cosine_top(rows.where("doc_id % 20 = 0"), rows, "doc_id", "vector", 7)
 
 
+@query("method_grid")
+def method_grid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    rows = stage(docs.select("doc_id", "label", tokens.unicode_words(F.col("text")).alias("words")), "grid")
+    train, test = evaluate.hash_split(rows, "doc_id", 0.8)
+    seen = counts.presence(tokens.explode_tokens(train, F.col("words"), "doc_id", "label"), "doc_id", "label")
+    return models.grid(train, test, stage(seen, "grid-counts"), list(models.METHODS), [100, 1000])
+
+
+@query("sense_expand_again", f"""WITH {TOK}, th AS (SELECT * FROM (VALUES {values(THESAURUS)}) v(aim, sense, synonym)),
+one AS (SELECT synonym FROM th GROUP BY synonym HAVING count(DISTINCT aim || '/' || sense) = 1),
+l AS (SELECT doc_id, pos, word, lag(word, 1) OVER z AS b1, lag(word, 2) OVER z AS b2, lead(word, 1) OVER z AS a1, lead(word, 2) OVER z AS a2 FROM tok WINDOW z AS (PARTITION BY doc_id ORDER BY pos)),
+f AS (SELECT l.*, th.aim, th.sense FROM l JOIN th ON th.synonym = l.word JOIN one ON one.synonym = l.word WHERE b2 IS NOT NULL AND a2 IS NOT NULL),
+ph AS (SELECT DISTINCT b2 || ' ' || b1 || ' ' || th.synonym || ' ' || a1 || ' ' || a2 AS phrase, f.aim, f.sense FROM f JOIN th ON th.aim = f.aim AND th.sense = f.sense AND th.synonym <> f.word)
+SELECT DISTINCT doc_id, ph.aim AS word, ph.sense FROM l JOIN ph ON b2 || ' ' || b1 || ' ' || l.word || ' ' || a1 || ' ' || a2 = phrase""")
+def sense_expand_again(spark, sf_dir):
+    thesaurus = spark.createDataFrame(THESAURUS, "word string, sense string, synonym string")
+    words = words_of(table(spark, sf_dir, "documents"), "doc_id")
+    return senses.expand_again(words, senses.expand(words, thesaurus, "doc_id")[1].select("phrase", "word", "sense"), "doc_id")
+
+
+@query("pos_tags", f"WITH {TOK} SELECT CASE WHEN word IN ({listed([w for w, _ in LEXICON])}) THEN 'n' WHEN NOT regexp_matches(word, '[^\\x00-\\x7F]') THEN 'eng' ELSE 'x' END AS tag, count(*) AS n FROM tok GROUP BY tag")
+def pos_tags(spark, sf_dir):
+    lexicon = spark.createDataFrame([(w, "n") for w, _ in LEXICON], "word string, tag string")
+    return segment.pos_tag(words_of(table(spark, sf_dir, "documents")), lexicon).groupBy("tag").agg(F.count("*").alias("n"))
+
+
 # ---- streams
 @query("stream_scores", rf"""SELECT conv_id, turn, CAST(len(ws) AS INTEGER) AS n_tokens, CAST(len(list_filter(ws, lambda x: x IN ({listed(POSITIVE)}))) - len(list_filter(ws, lambda x: x IN ({listed(NEGATIVE)}))) AS INTEGER) AS score
 FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '\p{{L}}+') AS ws FROM conversations)""")
