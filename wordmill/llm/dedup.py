@@ -83,7 +83,7 @@ def mark(rows: DataFrame, index: DigestIndex) -> DataFrame:
     same = rows.groupBy("digest", "doc_id", "n_chars").agg(F.count("*").alias("n"))
     sizes = same.groupBy("digest").agg(F.sum("n").alias("group_size"))
     # a row of `same` for each distinct (digest, id, length): a group of any size is split by Spark's skew join
-    found = index.read().select("digest", "keep_id", "keep_chars").join(sizes, "digest")
+    found = stage(index.read().select("digest", "keep_id", "keep_chars").join(sizes, "digest"), "digest-groups")
     joined = same.join(found.hint("merge"), "digest")
     copy = F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))
     first = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
