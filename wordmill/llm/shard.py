@@ -29,7 +29,7 @@ from wordmill.llm.common import stage
 
 OVERHEAD = 16
 BINS_PER_SHARD = 64
-PIECE_ROWS = 8192
+PIECE_ROWS = 512
 
 
 def differencing(sizes: list[int], shards: int) -> list[int]:
