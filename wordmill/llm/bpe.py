@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from wordmill.llm.common import slices, utf8
+from wordmill.llm.common import slices, small_batches, utf8
 
 NEVER = 1 << 30
 #: Entries after which a worker's cache starts a new generation, and the longest chunk that is kept.
@@ -245,6 +245,10 @@ class Encoder:
             return self.vocabulary.words(chunk)
         return [p for piece in pieces if piece for p in ([special[piece]] if piece in special else self.vocabulary.words(piece.encode()))]
 
+    def forget(self) -> None:
+        """Drop the older generation, as a task's end does: the worker lives on beside other stages' needs."""
+        self.chunks.old, self.known.old = {}, {}
+
     def learn(self, chunks: set[bytes]) -> None:
         """Encode the chunks that are new, all their new words in one trie."""
         single: list[tuple[bytes, bytes]] = []
@@ -307,6 +311,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str]
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     if clash := {"n_tokens", "ids", "decoded"} & {*keep}:
         raise ValueError(f"columns {sorted(clash)} would clash")
+    small_batches(docs.sparkSession)
     kept = T.StructType([docs.schema[c] for c in keep])
     schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if decode else [])])
     inner = "__text"
@@ -321,6 +326,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str]
                 made.append(pa.array([show(unpack(x)) for x in ids], pa.string()))
             names = [*keep, "n_tokens", "ids", "decoded"][: len(keep) + len(made)]
             yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(keep))), *made], names=names)
+        coder.forget()
 
     return docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text}`"].alias(inner)).mapInArrow(run, schema)
 

@@ -10,6 +10,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Text bytes that a Python worker holds as objects at a time.
 SLICE_BYTES = 4 << 20
 
@@ -34,6 +35,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of text come to Python by the thousand, not by ten thousand (unless the session says otherwise):
+    both sides hold a whole record batch in memory, and texts are long."""
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the text of each piece stays near limit bytes (one row at least)."""
     for batch in batches:
@@ -46,6 +54,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
                 start, total = i + 1, 0
         if start < len(sizes):
             yield batch.slice(start)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

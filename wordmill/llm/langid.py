@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from wordmill.llm.common import slices
+from wordmill.llm.common import slices, small_batches
 
 SIGNS = 64
 #: Places of 1-, 2- and 3-grams in the table of n-grams.
@@ -82,8 +82,9 @@ class Model:
     weights: np.ndarray
 
     def score(self, rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
-        """Regression values of a batch (rows x langs), targets being -1 and 1."""
-        have = np.stack([p[self.used] for p, _ in rows]).astype(np.float32)
+        """Regression values of a batch (rows x langs), targets being -1 and 1. rows: which of the used
+        n-grams a text has, and the size of its set."""
+        have = np.stack([p for p, _ in rows]).astype(np.float32)
         many = np.array([max(n, 1) for _, n in rows], np.float32)
         kernel = (have @ self.marks.T) / np.sqrt(many[:, None] * self.size[None, :])
         return kernel @ self.weights
@@ -163,6 +164,7 @@ def sample(labelled: DataFrame, text: str, lang: str, per_lang: int, max_langs:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 400, max_langs: int = 64, landmarks: int = 192, ridge: float = 1e-3) -> Model | None:
     """Learn from at most per_lang * max_langs rows of labelled (their n-gram sets come to the driver)."""
+    small_batches(labelled.sparkSession)
     rows = sorted(sample(labelled, text, lang, per_lang, max_langs).collect(), key=lambda r: (r["key"], r["lang"]))
     return train([np.array(r["grams"], np.int64) for r in rows], [r["lang"] for r in rows], landmarks, ridge)
 
@@ -183,7 +185,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
             some = [i for i, t in enumerate(texts) if t is not None and HAS_LETTER.search(t)] if known else []
             for at in range(0, len(some), batch_rows):
                 ids = some[at : at + batch_rows]
-                values = known.score([ngrams(texts[i]) for i in ids])
+                values = known.score([(p[known.used], n) for p, n in (ngrams(texts[i]) for i in ids)])
                 best = values.argmax(axis=1)
                 for row, i in enumerate(ids):
                     said[i] = known.langs[best[row]]

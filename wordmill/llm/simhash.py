@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordmill.llm.common import slices, stage, utf8
+from wordmill.llm.common import slices, small_batches, stage, utf8
 
 BITS = 64
 SEED = 42
@@ -86,6 +86,7 @@ def fingerprint(text: bytes, words: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, prints: int = 1) -> DataFrame:
     """doc_id long, fp long (the first fingerprint's bits), fps array<long> (all of them). One scan, no shuffle."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordmill.llm import bpe, order
-from wordmill.llm.common import fresh_path, slices, utf8
+from wordmill.llm.common import fresh_path, slices, small_batches, utf8
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 256 << 10
@@ -166,6 +166,7 @@ def library_encoder(path: str) -> bpe.Encoder:
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", cuts: list[int] | None = None) -> DataFrame:
     """doc_id long, ids binary (packed 16-bit if the vocabulary allows), part int. One scan."""
     cuts = cuts or []
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = library_encoder(tokenizer)
@@ -177,6 +178,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id",
             keys = [order.LOWEST if d is None else d for d in piece.column(0).to_pylist()]
             part = np.searchsorted(cuts, keys, side="right").astype(np.int32) if cuts else np.zeros(len(keys), np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary()), pa.array(part)], names=["doc_id", "ids", "part"])
+        coder.forget()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, part int")
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordmill.llm import order
-from wordmill.llm.common import slices
+from wordmill.llm.common import slices, small_batches
 
 K, W = 16, 32
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -122,6 +122,7 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Texts are shuffled once, to ranges of the key; the first document of each range also goes to the
     range whose last one it follows. Rows stream through a task, two texts at a time. Repeated keys
     are ordered by a hash of the text; a null key comes last."""
+    small_batches(docs.sparkSession)
     n = partitions or order.partitions_of(docs)
     cuts = order.bounds(docs, key, n)
     ranked = F.coalesce(F.col(key), F.lit(order.LOWEST))
