@@ -14,7 +14,8 @@ from wordmill.llm import bpe, dedup, langid, mixing, simhash
 from wordmill.llm.common import stage
 from wordmill.llm.queries import tokenizer
 
-#: A document goes if it has no letters or no text, or if no language scores this much.
+#: A document goes if it has no letters or no text, if it is like nothing learned from (langid's gate), or if no
+#: language scores this much (with four languages the gate alone does the work: the best score is hardly ever lower).
 LEAST_SCORE = 0.25
 #: Fingerprints of a document in the near-dedup stage.
 PRINTS = 8
@@ -23,7 +24,7 @@ PRINTS = 8
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is known (operator 2)."""
     model = langid.fit(docs.where(~langid.held_out("doc_id")).select("doc_id", "text", "lang"))
-    found = langid.predict(docs, model)
+    found = langid.predict(docs, model, gate=True)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 

@@ -158,3 +158,27 @@ def test_stages_take_edges(spark):
             now = spark.createDataFrame(function(spark, now, SF).collect(), function(spark, now, SF).schema)
         assert now.count() in (0, 1, 2, 3, 4)
     assert dedup.keep_first(docs).count() == 3
+
+
+STRANGE = {
+    "zh": "今天天气很好,我们一起去城市公园散步,然后回家吃饭,晚上看电影。", "ru": "Сегодня хорошая погода, и мы пошли гулять в городской парк вместе с друзьями.",
+    "el": "Σήμερα ο καιρός είναι πολύ καλός και πήγαμε στο πάρκο με τους φίλους μας.", "pl": "Dzisiaj pogoda jest bardzo ładna i poszliśmy z przyjaciółmi do parku miejskiego",
+    "fi": "Tänään on hyvä sää ja menimme ystävien kanssa kaupungin puistoon kävelemään", "consonants": "xkcd qwrtp zxcvb mnbvc lkjhg fdsqw rtypl kjhgf zxqwv bnmlk",
+    "letters": "qzj vkxw bpfg jjq zrtk wvyx oqke mxz hgdq puvz kfj xbw", "code": "for (int i = 0; i < n; ++i) { if (buf[i] != 0x00) { ptr->next = malloc(sizeof(struct node)); } } #define MAX(a,b) ((a)>(b)?(a):(b))",
+}
+CLEAN = ["the", "the and with", "That it.", "der und die", "Von.", "des les", "los de la", "This is the house of my father and he was not there with them"]
+
+
+def test_language_gate(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    have = [c for c in docs.columns if c not in ("doc_id", "text", "lang")]
+    # no doc_id: these rows are never learned from
+    extra = spark.createDataFrame([(None, t, None) for t in [*STRANGE.values(), *CLEAN]], "doc_id long, text string, lang string")
+    every = docs.unionByName(extra.select("*", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in have]).select(*docs.columns))
+    kept = corpus_pipeline.identify(spark, every, "").select("doc_id", "text").collect()
+    told = {r["text"] for r in kept if r["doc_id"] is None}
+    assert told == {*CLEAN}
+    lettered = [r["doc_id"] for r in docs.select("doc_id", "text").collect() if langid.HAS_LETTER.search(r["text"] or "")]
+    assert sum(r["doc_id"] is not None for r in kept) >= 0.999 * len(lettered)

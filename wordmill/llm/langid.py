@@ -10,6 +10,11 @@ What is learned from is bounded: at most per_lang rows of each of the max_langs
 languages, chosen by a hash of the whole row (parameters; the hash picks rows, it is no input of a prediction). Executors turn those texts into sets of
 n-grams; only these reach the driver, never texts. All rows are scored, on their whole texts.
 
+The gate (predict(gate=True)) tells texts that are like nothing learned from, which the regression cannot: its
+best value is near 0.5 there. Counted are a text's distinct 3-grams that some landmark has. A text is out if
+their share is below least_known, three quarters of the 1 % quantile of that share over the rows learned from
+(a landmark is held against all others), by more than 1 / sqrt(number of its 3-grams), the allowance for short texts.
+
 Edge cases: a null text, and one without letters, is `und` with score 0. Rows with a null text or
 language are never learned from. An empty learning table gives `und` for every row. Equal scores:
 the language that is first by code point wins. Further columns are carried through.
@@ -33,6 +38,8 @@ from wordmill.llm.common import slices, small_batches
 SIGNS = 64
 #: Places of 1-, 2- and 3-grams in the table of n-grams.
 SPACE = SIGNS + SIGNS**2 + SIGNS**3
+#: Where the places of 3-grams begin.
+THREE = SIGNS + SIGNS**2
 HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -73,13 +80,14 @@ def ngrams(text: str) -> tuple[np.ndarray, int]:
 @dataclass
 class Model:
     """langs; used: n-grams that any landmark has; marks: landmarks' presences over these; size:
-    of each landmark's set; weights: landmarks x langs."""
+    of each landmark's set; weights: landmarks x langs; least_known: the gate's share of known 3-grams."""
 
     langs: list[str]
     used: np.ndarray
     marks: np.ndarray
     size: np.ndarray
     weights: np.ndarray
+    least_known: float = 0.0
 
     def score(self, rows: list[tuple[np.ndarray, int]]) -> np.ndarray:
         """Regression values of a batch (rows x langs), targets being -1 and 1. rows: which of the used
@@ -89,6 +97,22 @@ class Model:
         kernel = (have @ self.marks.T) / np.sqrt(many[:, None] * self.size[None, :])
         return kernel @ self.weights
 
+    def strange(self, present: np.ndarray) -> bool:
+        """The gate: too few of the 3-grams present are any landmark's."""
+        three = int(np.count_nonzero(present[THREE:]))
+        known = int(np.count_nonzero(present[self.used[self.used >= THREE]]))
+        return three > 0 and known / three < self.least_known - 1 / np.sqrt(three)
+
+
+def known_share(sets: list[np.ndarray], chosen: list[int]) -> float:
+    """1 % quantile, over all sets, of the share of 3-grams that a landmark (for a landmark: another one) has."""
+    owners = np.zeros(SPACE, np.int64)
+    for i in chosen:
+        owners[sets[i]] += 1
+    own = {*chosen}
+    shares = [float((owners[three] > (i in own)).mean()) for i, three in ((i, s[s >= THREE]) for i, s in enumerate(sets)) if len(three)]
+    return float(np.quantile(shares, 0.01)) if shares else 0.0
+
 
 def train(sets: list[np.ndarray], labels: list[str], landmarks: int, ridge: float) -> Model | None:
     """Nyström kernel ridge regression; the first rows of each language in turn are landmarks."""
@@ -131,7 +155,7 @@ def train(sets: list[np.ndarray], labels: list[str], landmarks: int, ridge: floa
         left += phi.T @ (phi * weight[:, None])
         right += phi.T @ (target * weight[:, None])
     beta = np.linalg.solve(left + ridge * np.eye(len(left)), right)[:-1]
-    return Model(langs, used, marks, size, (root @ beta).astype(np.float32))
+    return Model(langs, used, marks, size, (root @ beta).astype(np.float32), 0.75 * known_share(sets, chosen))
 
 
 def sample(labelled: DataFrame, text: str, lang: str, per_lang: int, max_langs: int) -> DataFrame:
@@ -169,8 +193,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: i
     return train([np.array(r["grams"], np.int64) for r in rows], [r["lang"] for r in rows], landmarks, ridge)
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, batch_rows: int = 128) -> DataFrame:
-    """Columns keep (default: all) and lang_pred string, score double in 0 to 1. One scan, no shuffle."""
+def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, batch_rows: int = 128, gate: bool = False) -> DataFrame:
+    """Columns keep (default: all) and lang_pred string, score double in 0 to 1. One scan, no shuffle.
+
+    gate: texts that are like nothing learned from are `und` with score 0, too."""
     keep = docs.columns if keep is None else keep
     if clash := {"lang_pred", "score"} & {*keep}:
         raise ValueError(f"columns {sorted(clash)} would clash")
@@ -185,9 +211,16 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
             some = [i for i, t in enumerate(texts) if t is not None and HAS_LETTER.search(t)] if known else []
             for at in range(0, len(some), batch_rows):
                 ids = some[at : at + batch_rows]
-                values = known.score([(p[known.used], n) for p, n in (ngrams(texts[i]) for i in ids)])
+                rows, strange = [], []
+                for i in ids:
+                    present, n = ngrams(texts[i])
+                    rows.append((present[known.used], n))
+                    strange.append(gate and known.strange(present))
+                values = known.score(rows)
                 best = values.argmax(axis=1)
                 for row, i in enumerate(ids):
+                    if strange[row]:
+                        continue
                     said[i] = known.langs[best[row]]
                     scores[i] = float(min(1.0, max(0.0, (values[row, best[row]] + 1) / 2)))
             yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(keep))), pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
