@@ -281,3 +281,13 @@ def test_shards(spark, docs, texts):
     edge = shard.shard(docs, shards=3)
     assert edge.count() == len(ROWS) and edge.where("doc_id = 3").select("shard").distinct().count() == 1
     assert shard.shard(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("prints", [1, 2])
+def test_keep_one_of_null_and_equal_ids(spark, prints):
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(60)) for w in ("north", "plum", "quartz", "river"))
+    rows = [(None, one), (None, two), (7, three), (7, four), (3, one), (None, three), (None, four + " "), (None, two), (7, three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.keep_one(docs, prints=prints).collect()]
+    # one is known by 3; two has no id; three and four share the id 7
+    assert sorted(kept, key=str) == sorted([(3, one), (None, two), (7, three), (7, four)], key=str)

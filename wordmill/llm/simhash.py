@@ -21,7 +21,7 @@ copies cost one row; a null id never becomes a component's name unless no other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import combinations
 
@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from wordmill.llm.common import slices, small_batches, stage, utf8
@@ -84,16 +85,17 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return prints_of(text, words)[0]
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, prints: int = 1) -> DataFrame:
-    """doc_id long, fp long (the first fingerprint's bits), fps array<long> (all of them). One scan, no shuffle."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, prints: int = 1, more: Sequence[str] = ()) -> DataFrame:
+    """doc_id long, fp long (the first fingerprint's bits), fps array<long> (all of them), columns more. One scan, no shuffle."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
             made = np.array([prints_of(t, words, prints) for t in utf8(piece.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(made[:, 0]), pa.array(list(made), pa.list_(pa.int64()))], names=["doc_id", "fp", "fps"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(made[:, 0]), pa.array(list(made), pa.list_(pa.int64())), *piece.columns[2:]], names=["doc_id", "fp", "fps", *more])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, fps array<long>")
+    taken = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *more)
+    return taken.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("fps", T.ArrayType(T.LongType())), *(taken.schema[c] for c in more)]))
 
 
 @lru_cache(maxsize=256)
@@ -213,13 +215,13 @@ def components(edges: DataFrame) -> DataFrame:
             return label.where("node <> l").select("node", F.col("l").alias("root"))
 
 
-def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, prints: int = 1) -> DataFrame:
-    """doc_id, fp long, component_id (least doc_id reachable by links, itself included), for every row.
+def grouped(rows: DataFrame, first, distance: int, prints: int) -> DataFrame:
+    """fp, first (the aggregate of that name over the fingerprint's rows), root (the component's least fingerprint)
+    for every distinct fingerprint of rows (fp, fps), written out.
 
-    Documents are linked if any of their prints is within distance bits. The nodes are the first
-    fingerprints; a further print's fingerprint stands for the least first fingerprint it goes with."""
-    rows = stage(fingerprints(docs, key, text, words, prints), "simhash")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    The nodes are the first fingerprints; a further print's fingerprint stands for the least first
+    fingerprint it goes with."""
+    classes = rows.groupBy("fp").agg(first.alias("first"))
     if prints == 1:
         edges = links(classes.select(F.lit(0).alias("print"), "fp"), distance).select("a", "b")
     else:
@@ -230,18 +232,37 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         found = links(least.select("print", "fp"), distance).join(left, ["print", "a"]).join(right, ["print", "b"]).where("ar <> br")
         edges = equal.unionByName(found.select(F.col("ar").alias("a"), F.col("br").alias("b")))
     roots = components(edges)
-    # the component's name: the least id over the classes of its fingerprints
     of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    of = stage(of, "classes")
+    return stage(of, "classes")
+
+
+def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4, prints: int = 1) -> DataFrame:
+    """doc_id, fp long, component_id (least doc_id reachable by links, itself included), for every row.
+
+    Documents are linked if any of their prints is within distance bits."""
+    rows = stage(fingerprints(docs, key, text, words, prints), "simhash")
+    of = grouped(rows, F.min("doc_id"), distance, prints)
+    # the component's name: the least id over the classes of its fingerprints
     names = of.groupBy("root").agg(F.min("first").alias("component_id"))
     named = of.join(names, "root").select(F.col("fp").alias("f"), "component_id")
     return rows.join(named, rows["fp"] == named["f"]).select("doc_id", "fp", "component_id")
 
 
+def text_digest(text: str):
+    """Column: SHA-256 of the text; null is empty, as for fingerprints."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4, prints: int = 1) -> DataFrame:
-    """One row of each component stays: that of the component's id (of equal ids, one)."""
-    marks = near_dedup(docs, key, text, words, distance, prints)
-    stay = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, docs[f"`{key}`"].eqNullSafe(F.col("__id")), "left_semi")
-    one = F.row_number().over(Window.partitionBy(F.col(f"`{key}`")).orderBy(F.xxhash64(F.col(text))))
-    return kept.withColumn("__one", one).where(F.col("__one") == 1).drop("__one")
+    """One row of each component stays: that of the least id (null ids last), of equal ids that of the least digest.
+
+    Survivors are known by (id, digest), so neither null nor repeated ids merge components; of rows
+    that are equal in both, one stays."""
+    rows = stage(fingerprints(docs.withColumn("__digest", text_digest(text)), key, text, words, prints, ["__digest"]), "simhash")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("__digest").alias("digest")))
+    best = grouped(rows, order, distance, prints).groupBy("root").agg(F.min("first").alias("s"))
+    stay = best.select(F.col("s.doc_id").alias("__id"), F.col("s.digest").alias("__d"))
+    tagged = docs.withColumn("__digest", text_digest(text))
+    kept = tagged.join(stay, (tagged["__digest"] == stay["__d"]) & tagged[f"`{key}`"].cast("long").eqNullSafe(stay["__id"]), "left_semi")
+    one = F.row_number().over(Window.partitionBy(F.col(f"`{key}`"), "__digest").orderBy(F.lit(1)))
+    return kept.withColumn("__one", one).where(F.col("__one") == 1).drop("__one", "__digest")
