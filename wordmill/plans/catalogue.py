@@ -515,7 +515,7 @@ def labeled_lda(spark, sf_dir):
 @query("lsi_search")
 def lsi_search(spark, sf_dir):
     weights = stage(tfidf(spark, sf_dir), "tfidf")
-    projected, _, _ = retrieval.lsi(weights, "doc_id", topics=20, words=256)
+    projected, _ = retrieval.lsi(weights, "doc_id", topics=200, documents=table(spark, sf_dir, "documents"))
     rows = stage(projected, "lsi")
     return retrieval.cosine_top(rows.where("doc_id % 20 = 0"), rows, "doc_id", "vector", 7)
 
