@@ -31,3 +31,14 @@ def test_lsi_index_has_every_document(spark):
     found = catalogue.queries()["lsi_search"](spark, sf)
     ids = {r["doc_id"] for r in catalogue.table(spark, sf, "documents").where("doc_id % 20 = 0").select("doc_id").collect()}
     assert {r["query_id"] for r in found.select("query_id").distinct().collect()} == ids
+
+
+def test_maxent_query_moves_off_uniform(spark, tmp_path):
+    from wordmill.plans import catalogue
+
+    # one long document makes GIS steps short; the others have five words of their class
+    docs = [(i, " ".join(("good" if i % 2 else "poor") + chr(97 + j) for j in range(5)), i % 2) for i in range(40)] + [(40, " ".join(chr(97 + i) + chr(97 + j) + "x" for i in range(15) for j in range(20)), 0)]
+    spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d[0], d[2], 0) for d in docs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    p = {(r["doc_id"], r["label"]): r["p"] for r in catalogue.queries()["maxent_gis"](spark, str(tmp_path)).collect()}
+    assert min(p[d, label] for d, _, label in docs[:40]) > 0.55

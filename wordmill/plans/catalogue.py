@@ -484,9 +484,9 @@ def full_segment(spark, sf_dir):
 def maxent_gis(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
     words = stage(words_of(docs, "doc_id", "label"), "maxent-tokens")
-    best = stage(bayes.select_words(counts.presence(words, "doc_id", "label"), "label", 200), "maxent-words")
+    best = stage(bayes.select_words(counts.presence(words, "doc_id", "label"), "label", 2000), "maxent-words")
     own = tokens.keep_words(words, best)
-    model = maxent.train_gis(own, docs.select("doc_id", "label"), "doc_id", "label", rounds=5)
+    model = maxent.train_gis(own, docs.select("doc_id", "label"), "doc_id", "label")
     p = maxent.predict(own, docs.select("doc_id", "label"), model, "doc_id", "label")
     return p.select("doc_id", "label", F.round("p", 6).alias("p"))
 
