@@ -42,3 +42,14 @@ def test_maxent_query_moves_off_uniform(spark, tmp_path):
     spark.createDataFrame([(d[0], d[2], 0) for d in docs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     p = {(r["doc_id"], r["label"]): r["p"] for r in catalogue.queries()["maxent_gis"](spark, str(tmp_path)).collect()}
     assert min(p[d, label] for d, _, label in docs[:40]) > 0.55
+
+
+def test_lda_query_sees_rare_words(spark, tmp_path):
+    from wordmill.plans import catalogue
+
+    # 2100 words in all documents say nothing; each document's own word is rarer than all of them
+    common = " ".join(chr(97 + i // 676) + chr(97 + i // 26 % 26) + chr(97 + i % 26) for i in range(2100))
+    spark.createDataFrame([(i, f"{common} own{chr(97 + i)}") for i in range(12)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.queries()["lda_topics"](spark, str(tmp_path)).collect()
+    assert {r["topic"] for r in found} == {*range(20)}
+    assert {r["word"] for r in found} & {f"own{chr(97 + i)}" for i in range(12)}

@@ -501,8 +501,10 @@ def logreg_sentiment(spark, sf_dir):
 
 @query("lda_topics")
 def lda_topics(spark, sf_dir):
-    featured, words = topics.vectors(table(spark, sf_dir, "documents").select("doc_id", "text"), tokens.unicode_words(F.col("text")), size=2000, least=2.0)
-    return topics.topic_words(topics.lda(featured, topics=8, rounds=5), words.vocabulary)
+    listed_words = F.filter(tokens.unicode_words(F.col("text")), lambda w: ~w.isin(*STOP))
+    featured, words = topics.vectors(table(spark, sf_dir, "documents").select("doc_id", "text"), listed_words, size=(1 << 31) - 1)
+    rows = stage(topics.weighted(featured).select("doc_id", "features"), "lda")
+    return topics.topic_words(topics.lda_until(rows, topics=20), words.vocabulary)
 
 
 @query("labeled_lda")
