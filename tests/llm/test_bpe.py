@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,13 +33,28 @@ def test_same_as_library(make, library):
     assert [show(w.ids) for w in want[:500]] == [library.decode(w.ids, skip_special_tokens=False) for w in want[:500]]
 
 
-def test_generations_forget_and_stay_right(library):
-    coder = bpe.Encoder(PATH)
-    coder.chunks.entries = coder.known.entries = 20
-    texts = list(noise(2, 300))
-    got = [coder.batch([t.encode()])[0] for t in texts]
-    assert [list(bpe.unpack(x)) for x in got] == [w.ids for w in library.encode_batch(texts, add_special_tokens=False)]
-    assert len(coder.chunks.old) < 200
+@pytest.mark.parametrize(("known", "window"), [(20, 1 << 20), (1 << 20, 16), (5, 7)])
+def test_forgetting_and_windows_stay_right(library, known, window):
+    coder = bpe.Encoder(PATH, known=known, window=window)
+    texts = [*noise(2, 300), "", "x" * 70 + " " + "é" * 40, "don't l'homme l'métro we'll they're''s ''t '", "", "a'", "s b", "<|endoftext|>x<|", "word\x00x \x1f", "1234,56"]
+    want = [w.ids for w in library.encode_batch(texts, add_special_tokens=False)]
+    for k in (1, 50, len(texts)):
+        got = [list(bpe.unpack(x)) for at in range(0, len(texts), k) for x in coder.batch([t.encode() for t in texts[at : at + k]])]
+        assert got == want
+        assert len(coder.table) <= max(known, 4000)
+
+
+def test_words_table_grows():
+    table = bpe.Words()
+    rng = random.Random(4)
+    words = sorted({bytes(rng.choice(b"abcdefgh") for _ in range(rng.randrange(1, 17))) for _ in range(60_000)})
+    both = np.frombuffer(b"".join(w.ljust(16, b"\0") for w in words), "<u8").reshape(-1, 2)
+    for at in range(0, len(words), 7000):
+        first = table.add([(i, i) for i in range(at, min(at + 7000, len(words)))])
+        table.low[first : table.count], table.high[first : table.count] = both[at : at + 7000].T
+        table.enter(np.arange(first, table.count))
+    assert table.find(both[:, 0], both[:, 1]).tolist() == list(range(len(words)))
+    assert (table.find(both[:, 0] + np.uint64(1 << 63), both[:, 1]) == -1).all()
 
 
 def test_dataframe(spark, library):

@@ -20,16 +20,17 @@ import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from wordmill.llm.common import slices, small_batches, utf8
+from wordmill.llm.common import slices, small_batches
 
 NEVER = 1 << 30
-#: Entries after which a worker's cache starts a new generation, and the longest chunk that is kept.
-CACHE_ENTRIES, CACHE_KEY = 60_000, 64
+#: Words that a worker remembers, bytes of text that it cuts at a time, and pairs of tokens that it remembers.
+KNOWN, WINDOW = 500_000, 1 << 20
 PAIR_ENTRIES = 400_000
 
 #: The split pattern of the word-level vocabulary, for code points below U+0300.
@@ -210,87 +211,274 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Generations(dict):
-    """A cache of bounded size: what was not asked for during a generation is forgotten."""
-
-    def __init__(self, entries: int = CACHE_ENTRIES):
-        super().__init__()
-        self.entries, self.old = entries, {}
-
-    def missing(self, keys: set[bytes]) -> set[bytes]:
-        """The keys whose values are not known; makes room first, and keeps the known ones."""
-        if len(self) >= self.entries:
-            self.old = dict(self)
-            self.clear()
-        out = keys.difference(self)
-        if self.old:
-            for key in (kept := out.intersection(self.old)):
-                self[key] = self.old[key]
-            out -= kept
+WHITE, LETTER, DIGIT, SIGN = range(4)
+#: Class of each byte; bytes from 128 on count as letters, and chunks where that is wrong are odd.
+CLASS = np.full(256, SIGN, np.uint8)
+CLASS[[9, 10, 11, 12, 13, 32]] = WHITE
+CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+CLASS[48:58] = DIGIT
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Bytes that make a chunk odd wherever they stand: control signs, and leads other than that of U+00C0 to U+00FF.
+ODD = np.zeros(256, bool)
+ODD[[*range(9), *range(14, 32), 127, *range(0xC0, 0xC3), *range(0xC4, 0x100)]] = True
+LEAD, APOSTROPHE = 0xC3, 0x27
+#: Masks that keep the first n bytes of a little-endian 64-bit word.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+MIX_HIGH, MIX = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
+
+
+def contractions(low: np.ndarray, starts: np.ndarray, stops: np.ndarray, kind: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Join a lone apostrophe with the s, t, m, d, re, ve or ll that follows it; the rest of those letters is a word of its own."""
+    at = np.flatnonzero((low[starts] == APOSTROPHE) & (stops - starts == 1))
+    at = at[at + 1 < len(starts)]
+    after = starts[at + 1]
+    near = (after == stops[at]) & (kind[at + 1] == LETTER) & ~opens[after]
+    at, after = at[near], after[near]
+    if not len(at):
+        return starts, stops, kind
+    one, two = low[after], low[np.minimum(after + 1, len(low) - 1)]
+    long = (stops[at + 1] - after >= 2) & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+    size = np.where(np.isin(one, np.frombuffer(b"stmd", np.uint8)), 1, np.where(long, 2, 0))
+    starts, stops = starts.copy(), stops.copy()
+    stops[at] += size
+    starts[at + 1] += size
+    left = starts < stops
+    return starts[left], stops[left], kind[left]
+
+
+class Words:
+    """Known words, in arrays: a word of up to 16 bytes is two 64-bit numbers (compared whole, so matches are exact) in an open
+    hash table; others, and chunks that need the library's own splitting, are in a dictionary. Entry i has ids[off[i]:off[i + 1]]."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.zeros(1 << 16, np.int32)
+        self.low = np.zeros(1 << 12, np.uint64)
+        self.high, self.off = self.low.copy(), np.zeros((1 << 12) + 1, np.int64)
+        self.ids = np.zeros(1 << 13, np.uint32)
+        self.count = self.held = 0
+        self.others: dict[bytes, int] = {}
+
+    def __len__(self) -> int:
+        return self.count
+
+    def add(self, found: list[tuple[int, ...]]) -> int:
+        """Append entries; the first one's number."""
+        first, need = self.count, sum(map(len, found))
+        while self.count + len(found) > len(self.low):
+            self.low, self.high = (np.concatenate([x, np.zeros_like(x)]) for x in (self.low, self.high))
+            self.off = np.concatenate([self.off, np.zeros(len(self.off) - 1, np.int64)])
+        while self.held + need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.held : self.held + need] = np.fromiter((i for x in found for i in x), np.uint32, need)
+        self.off[first + 1 : first + len(found) + 1] = self.held + np.cumsum([len(x) for x in found])
+        self.count, self.held = first + len(found), self.held + need
+        return first
+
+    def place(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return ((low ^ high * MIX_HIGH) * MIX >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def enter(self, numbers: np.ndarray) -> None:
+        """Give entries their slots."""
+        if 2 * self.count > len(self.slots):
+            self.slots = np.zeros(4 << (self.count - 1).bit_length(), np.int32)
+            numbers = np.setdiff1d(np.arange(self.count), np.fromiter(self.others.values(), np.int64, len(self.others)))
+        at, last = self.place(self.low[numbers], self.high[numbers]), len(self.slots) - 1
+        while len(numbers):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = numbers[free] + 1
+            left = self.slots[at] != numbers + 1
+            numbers, at = numbers[left], (at[left] + 1) & last
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Entry of each word, or -1."""
+        out = np.full(len(low), -1, np.int64)
+        todo, at, last = np.arange(len(low)), self.place(low, high), len(self.slots) - 1
+        while len(todo):
+            entry = self.slots[at].astype(np.int64) - 1
+            same = (entry >= 0) & (self.low[entry] == low[todo]) & (self.high[entry] == high[todo])
+            out[todo[same]] = entry[same]
+            on = (entry >= 0) & ~same
+            todo, at = todo[on], (at[on] + 1) & last
         return out
 
 
 class Encoder:
-    """Text to packed ids. Chunks (between ASCII white space) and words are remembered."""
+    """Texts to ids. Words are cut and looked up by whole arrays; only words not met before are encoded one by one.
 
-    def __init__(self, path: str, encode_words=None):
-        self.vocabulary = vocabulary(path)
+    The known words are forgotten when there are more than KNOWN of them, after a window of about WINDOW bytes."""
+
+    def __init__(self, path: str, encode_words=None, known: int = KNOWN, window: int = WINDOW):
+        self.vocabulary, self.table = vocabulary(path), Words()
         self.encode_words = encode_words or self.vocabulary.encode_words
-        self.chunks, self.known = Generations(), Generations()
+        self.known, self.window = known, window
 
-    def words(self, chunk: bytes) -> list:
+    def pieces(self, chunk: bytes) -> list:
         """Words of a chunk; special tokens in it as their ids."""
         special, split = self.vocabulary.special, self.vocabulary.special_split
-        if split is None or b"<" not in chunk or len(pieces := split.split(chunk.decode())) == 1:
+        if split is None or b"<" not in chunk or len(parts := split.split(chunk.decode())) == 1:
             return self.vocabulary.words(chunk)
-        return [p for piece in pieces if piece for p in ([special[piece]] if piece in special else self.vocabulary.words(piece.encode()))]
-
-    def forget(self) -> None:
-        """Drop the older generation, as a task's end does: the worker lives on beside other stages' needs."""
-        self.chunks.old, self.known.old = {}, {}
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Encode the chunks that are new, all their new words in one trie."""
-        single: list[tuple[bytes, bytes]] = []
-        several: list[tuple[bytes, list]] = []
-        for chunk in self.chunks.missing(chunks):
-            if chunk.isalpha():
-                single.append((chunk, chunk.lower()))
-            elif chunk[-1:] in ENDS and chunk[:-1].isalpha():
-                several.append((chunk, [chunk[:-1].lower(), chunk[-1:]]))
-            else:
-                words = self.words(chunk)
-                if len(words) == 1 and words[0].__class__ is bytes:
-                    single.append((chunk, words[0]))
-                else:
-                    several.append((chunk, words))
-        known, code = self.known, self.chunks
-        wanted = {w for _, w in single}
-        wanted.update(p for _, parts in several for p in parts if p.__class__ is bytes)
-        for w, x in self.encode_words(known.missing(wanted)).items():
-            known[w] = struct.pack(f"<{len(x)}I", *x)
-        for chunk, word in single:
-            code[chunk] = known[word]
-        for chunk, parts in several:
-            code[chunk] = b"".join([known[p] if p.__class__ is bytes else struct.pack("<I", p) for p in parts])
-
-    def batch(self, texts: list[bytes]) -> list[bytes]:
-        """Packed little-endian 32-bit ids of each text."""
+        return [p for part in parts if part for p in ([special[part]] if part in special else self.vocabulary.words(part.encode()))]
+
+    def cut(self, data: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes in lower case, starts, stops, odd) of the words of data; an odd one is a whole chunk between white space,
+        as it stands in data. opens: where texts begin."""
+        n = len(data)
+        kind, low = CLASS[data], LOWER[data]
+        bad = ODD[data]
+        after = np.zeros(n, bool)
+        after[1:] = data[:-1] == LEAD
+        rest = (data & 0xC0) == 0x80
+        low[after & (data <= 0x9E)] |= 0x20
+        bad |= rest & ~after
+        bad |= after & ((data == 0x97) | (data == 0xB7))
+        angle = np.flatnonzero(data[:-1] == ord("<"))
+        bad[angle[data[angle + 1] == ord("|")]] = True
+        edge = np.ones(n, bool)
+        edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT) | opens[1:]
+        starts = np.flatnonzero(edge)
+        stops = np.append(starts[1:], n)
+        some = kind[starts]
+        leads = some != WHITE
+        leads[1:] &= (some[:-1] == WHITE) | opens[starts[1:]]
+        word = some != WHITE
+        if not bad.any():
+            starts, stops, some = contractions(low, starts[word], stops[word], some[word], opens)
+            return low, starts, stops, np.zeros(len(starts), bool)
+        odd = np.logical_or.reduceat(bad, starts)[word]
+        chunk = np.cumsum(leads)[word] - 1
+        starts, stops, some, leads = starts[word], stops[word], some[word], leads[word]
+        wrong = np.zeros(chunk[-1] + 1 if len(chunk) else 0, bool)
+        wrong[chunk[odd]] = True
+        ends = stops[np.append(leads[1:], True)] if len(leads) else stops
+        wrong_here = wrong[chunk]
+        heads = wrong_here & leads
+        plain = contractions(low, starts[~wrong_here], stops[~wrong_here], some[~wrong_here], opens)[:2]
+        own = starts[heads], ends[chunk[heads]]
+        starts, stops = np.concatenate([plain[0], own[0]]), np.concatenate([plain[1], own[1]])
+        odd = np.arange(len(starts)) >= len(plain[0])
+        by = np.argsort(starts, kind="stable")
+        return low, starts[by], stops[by], odd[by]
+
+    def learn(self, words: set[bytes], chunks: set[bytes]) -> None:
+        """Encode new words (of up to 16 bytes, cut and in lower case; or longer), and chunks that are odd."""
+        split = {c: self.pieces(c) for c in chunks}
+        wanted = words.union(p for parts in split.values() for p in parts if p.__class__ is bytes)
+        code, table = self.encode_words(wanted), self.table
+        short = [w for w in words if len(w) <= 16]
+        if short:
+            first = table.add([code[w] for w in short])
+            both = np.frombuffer(b"".join([w.ljust(16, b"\0") for w in short]), "<u8").reshape(-1, 2)
+            table.low[first : table.count], table.high[first : table.count] = both[:, 0], both[:, 1]
+            table.enter(np.arange(first, table.count))
+        others = [(w, code[w]) for w in words if len(w) > 16]
+        # a word in lower case and a chunk as it stands are told apart by a leading blank, which no chunk has
+        others = [(b" " + w, ids) for w, ids in others] + [(c, tuple(i for p in parts for i in (code[p] if p.__class__ is bytes else (p,)))) for c, parts in split.items()]
+        if others:
+            first = table.add([ids for _, ids in others])
+            table.others.update((w, first + i) for i, (w, _) in enumerate(others))
+
+    def entries(self, data: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entry, start) of each word of a window."""
+        low, starts, stops, odd = self.cut(data, opens)
+        if not len(starts):
+            return np.zeros(0, np.int64), starts
+        padded = np.concatenate([low, np.zeros(16, np.uint8)])
+        words = np.ndarray((len(low) + 8,), "<u8", padded, strides=(1,)).copy()
+        size = stops - starts
+        short = (size <= 16) & ~odd
+        whole = bool(short.all())
+        at, n = (starts, size) if whole else (starts[short], size[short])
+        first, second = words[at] & FIRST[np.minimum(n, 8)], words[at + np.minimum(n, 8)] & FIRST[np.maximum(n, 8) - 8]
+        found = self.table.find(first, second)
+        lower, raw = low.tobytes(), data.tobytes()
+        others: list[bytes] = []
+        rest = np.zeros(0, np.int64)
+        if not whole:
+            rest = np.flatnonzero(~short)
+            others = [raw[a:b] if o else b" " + lower[a:b] for a, b, o in zip(starts[rest].tolist(), stops[rest].tolist(), odd[rest].tolist(), strict=True)]
+        new = found < 0
+        missing = {lower[a : a + k] for a, k in zip(at[new].tolist(), n[new].tolist(), strict=True)}
+        unknown = {w for w in others if w not in self.table.others}
+        if missing or unknown:
+            self.learn(missing | {w[1:] for w in unknown if w[0] == 32}, {w for w in unknown if w[0] != 32})
+            found[new] = self.table.find(first[new], second[new])
+        out = found
+        if not whole:
+            out = np.empty(len(starts), np.int64)
+            out[short] = found
+            out[rest] = [self.table.others[w] for w in others]
+        return out, starts
+
+    def windows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Pieces of about self.window bytes that begin and end at white space or at texts' borders."""
+        at, n = 0, len(data)
+        while at < n:
+            stop = min(n, at + self.window)
+            if stop < n:
+                border = offsets[np.searchsorted(offsets, stop, side="right") - 1]
+                white = np.flatnonzero(CLASS[data[max(at, stop - 4096) : stop]] == WHITE)
+                cut = max(int(border), max(at, stop - 4096) + int(white[-1]) + 1 if len(white) else 0)
+                while cut <= at and stop < n:  # no white space so far
+                    white = np.flatnonzero(CLASS[data[stop : stop + self.window]] == WHITE)
+                    nearest = int(offsets[np.searchsorted(offsets, stop, side="left")])
+                    cut = min(nearest, stop + int(white[0])) if len(white) else nearest if nearest <= stop + self.window else 0
+                    stop = min(n, stop + self.window)
+                stop = cut if cut > at else n
+            yield at, stop
+            at = stop
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of all texts and the place in them where each text begins; text i is data[offsets[i]:offsets[i + 1]]."""
         collects = gc.isenabled()
-        gc.disable()  # nothing here is cyclic, and the collector would walk the caches again and again
+        gc.disable()  # nothing here is cyclic
         try:
-            chunks = [t.split() for t in texts]
-            self.learn(set().union(*chunks))
-            code = self.chunks.__getitem__
-            out = [b"".join(map(code, each)) for each in chunks]
-            for cache in (self.chunks, self.known):  # long keys would hold much memory
-                for c in [c for c in cache if len(c) > CACHE_KEY]:
-                    del cache[c]
-            return out
+            ids: list[np.ndarray] = []
+            sizes = np.zeros(len(offsets) - 1, np.int64)
+            table = self.table
+            for a, b in self.windows(data, offsets):
+                opens = np.zeros(b - a, bool)
+                low, high = np.searchsorted(offsets, [a, b], side="left")
+                opens[offsets[low:high] - a] = True
+                entry, starts = self.entries(data[a:b], opens)
+                begin = table.off[entry]
+                n = table.off[entry + 1] - begin
+                upto = np.concatenate([[0], np.cumsum(n)])
+                ids.append(table.ids[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])])
+                first = np.searchsorted(offsets, a, side="right") - 1
+                last = np.searchsorted(offsets, b, side="left")
+                inside = np.searchsorted(starts, np.clip(offsets[first : last + 1] - a, 0, b - a))
+                sizes[first:last] += np.diff(upto[inside])
+                if len(table) > self.known:
+                    table.clear()
+            return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum(sizes)])
         finally:
             if collects:
                 gc.enable()
 
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of an Arrow column of strings, null as empty."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8) if offsets else np.zeros(1, np.int64)
+        whole = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        return self.encode(whole[offsets[0] : offsets[-1]], offsets - offsets[0])
+
+    def batch(self, texts: list[bytes]) -> list[bytes]:
+        """Packed little-endian 32-bit ids of each text."""
+        ids, at = self.column(pa.array(texts, pa.large_binary()))
+        packed = ids.astype("<u4").tobytes()
+        return [packed[4 * a : 4 * b] for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+
+
+def packed(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A binary column of the ids of each text; at: where texts begin, and the end."""
+    data = pa.py_buffer(np.ascontiguousarray(ids))
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * ids.itemsize).astype(np.int32)), data])
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
@@ -320,13 +508,12 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str]
         coder = encoder(tokenizer)
         show = coder.vocabulary.decode
         for piece in slices(batches, inner):
-            ids = coder.batch(utf8(piece.column(piece.schema.get_field_index(inner))))
-            made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            ids, at = coder.column(piece.column(piece.schema.get_field_index(inner)))
+            made = [pa.array(np.diff(at), pa.int64()), packed(ids, at)]
             if decode:
-                made.append(pa.array([show(unpack(x)) for x in ids], pa.string()))
+                made.append(pa.array([show(ids[a:b].tolist()) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)], pa.string()))
             names = [*keep, "n_tokens", "ids", "decoded"][: len(keep) + len(made)]
             yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(keep))), *made], names=names)
-        coder.forget()
 
     return docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text}`"].alias(inner)).mapInArrow(run, schema)
 

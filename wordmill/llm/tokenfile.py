@@ -3,7 +3,8 @@
 A file holds documents in ascending id order. Each frame is an own zstandard frame; after the last
 data frame come an index frame and a seek table in a skippable frame:
 
-    data frame    count u32, then count x (doc id i64, ids u32), then the ids of all its documents, u16 or u32
+    data frame    count u32, then count x (doc id i64, ids u32), then the ids of all its documents, u16 or u32;
+                  the highest bit of a document's number of ids says that its doc id is null
     index frame   the first row of each data frame: first document's number u64, ids before it u64
     seek table    magic 0x184D2A5E, size u32, then per frame: compressed size u32, size u32, low half
                   of XXH64 of the content u32; at the end frames u32, flags u8 (bit 7: checksums; bit 0:
@@ -16,8 +17,9 @@ Spark's commit, lists the files of the attempts that counted. What a lost or rep
 is never read. Files go through pyarrow's file systems, so the folder may be on any shared store.
 
 Edge cases: a null text is encoded as empty, and still has its end id; repeated document ids are
-all written, ordered by their ids' bytes; a null id comes first and is kept as the least integer;
-an empty table gives an empty manifest.
+all written, ordered by their ids' bytes; a null id comes first and is read back as null; a document has
+less than 2**31 ids (ValueError beyond); texts of any length are encoded in windows; further columns are
+not read, whatever their names; an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
@@ -37,12 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordmill.llm import bpe, order
-from wordmill.llm.common import fresh_path, slices, small_batches, utf8
+from wordmill.llm.common import fresh_path, slices, small_batches
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 256 << 10
 LEVEL = 3
 ENTRY, FOOT = struct.Struct("<III"), struct.Struct("<IBI")
+#: The bit of a document's number of ids that says that its doc id is null.
+NO_DOC = 1 << 31
 
 
 def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -55,7 +59,7 @@ class Writer:
     def __init__(self, out, wide: bool, frame_bytes: int = FRAME_BYTES):
         self.out, self.wide, self.frame_bytes = out, wide, frame_bytes
         self.press = zstandard.ZstdCompressor(level=LEVEL)
-        self.heads: list[tuple[int, int]] = []
+        self.heads: list[tuple[int | None, int]] = []
         self.bodies: list[bytes] = []
         self.size = self.documents = self.ids = self.written = 0
         self.entries: list[tuple[int, int, int]] = []
@@ -67,7 +71,9 @@ class Writer:
         self.written += len(packed)
         self.entries.append((len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
 
-    def add(self, doc: int, ids: np.ndarray) -> None:
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
+        if len(ids) >= NO_DOC:
+            raise ValueError("too many ids in a document")
         self.heads.append((doc, len(ids)))
         self.bodies.append(ids.astype("<u4" if self.wide else "<u2").tobytes())
         self.size += len(self.bodies[-1])
@@ -77,7 +83,8 @@ class Writer:
     def flush(self) -> None:
         if self.heads:
             self.first.append((self.documents, self.ids))
-            self._frame(struct.pack("<I", len(self.heads)) + b"".join(struct.pack("<qI", *h) for h in self.heads) + b"".join(self.bodies))
+            heads = b"".join([struct.pack("<qI", 0, n | NO_DOC) if doc is None else struct.pack("<qI", doc, n) for doc, n in self.heads])
+            self._frame(struct.pack("<I", len(self.heads)) + heads + b"".join(self.bodies))
             self.documents += len(self.heads)
             self.ids += sum(n for _, n in self.heads)
             self.heads, self.bodies, self.size = [], [], 0
@@ -120,7 +127,7 @@ class Reader:
     def __len__(self) -> int:
         return len(self.entries) - 1
 
-    def frame(self, frame: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    def frame(self, frame: int) -> Iterator[tuple[int | None, np.ndarray, int]]:
         """(document id, ids, ids before it in the file) of each document in a frame."""
         self.read_frames += 1
         data, before = self._data(frame), self.index[frame][1]
@@ -128,10 +135,11 @@ class Reader:
         heads = list(struct.iter_unpack("<qI", data[4 : 4 + 12 * count]))
         kind, at = np.dtype("<u4" if self.wide else "<u2"), 4 + 12 * count
         for doc, n in heads:
+            doc, n = (None, n ^ NO_DOC) if n & NO_DOC else (doc, n)
             yield doc, np.frombuffer(data, kind, n, at), before
             at, before = at + n * kind.itemsize, before + n
 
-    def document(self, number: int) -> tuple[int, np.ndarray, int]:
+    def document(self, number: int) -> tuple[int | None, np.ndarray, int]:
         """The document of that number (from 0) in the file; decompresses its frame only."""
         frame = int(np.searchsorted([f for f, _ in self.index], number, side="right")) - 1
         for i, row in enumerate(self.frame(frame), self.index[frame][0]):
@@ -172,13 +180,12 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id",
         coder = library_encoder(tokenizer)
         kind = "<u4" if len(coder.vocabulary.content) > 1 << 16 or end_id >= 1 << 16 else "<u2"
         for piece in slices(batches, "text"):
-            ids = coder.batch(utf8(piece.column(1)))
-            end = struct.pack("<I", end_id)
-            packed = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in ids]
-            keys = [order.LOWEST if d is None else d for d in piece.column(0).to_pylist()]
-            part = np.searchsorted(cuts, keys, side="right").astype(np.int32) if cuts else np.zeros(len(keys), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary()), pa.array(part)], names=["doc_id", "ids", "part"])
-        coder.forget()
+            ids, at = coder.column(piece.column(1))
+            ended = np.insert(ids.astype(kind), at[1:], end_id)
+            keys = piece.column(0).cast(pa.int64())
+            ranks = keys.fill_null(order.LOWEST).to_numpy(zero_copy_only=False)
+            part = np.searchsorted(cuts, ranks, side="right").astype(np.int32) if cuts else np.zeros(len(ranks), np.int32)
+            yield pa.RecordBatch.from_arrays([keys, bpe.packed(ended, at + np.arange(len(at))), pa.array(part)], names=["doc_id", "ids", "part"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary, part int")
 
