@@ -6,14 +6,43 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by this process and not removed yet.
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset (as in tests, on one machine), a folder in the warehouse."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (own or spark.conf.get("spark.sql.warehouse.dir") + "/_work").rstrip("/")
+    if own:
+        return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (spark.conf.get("spark.sql.warehouse.dir") + "/_work").rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, to be removed by release()."""
+    _written.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders, by Spark's own access to their store."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that was staged so far; results that still read it must have been written or collected."""
+    remove(spark, *_written.copy())
