@@ -128,7 +128,7 @@ def test_pipeline(spark):
     for d, r in kept.items():
         groups[re.sub(r"[\x20\x09-\x0D]", "", r["text"])].append((-len(r["text"]), d))
     left = sorted(min(g)[1] for g in groups.values())
-    prints = {d: simhash.prints_of(kept[d]["text"].encode(), 5, corpus_pipeline.PRINTS) for d in left}
+    prints = {d: simhash.prints_of(kept[d]["text"].encode(), 5, corpus_pipeline.PRINTS, corpus_pipeline.BITS) for d in left}
     seen = []
     parent = {d: d for d in left}
 

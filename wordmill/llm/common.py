@@ -7,9 +7,13 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordmill.plans.staging import fresh_path, release, remove, shared_folder, stage
+
+__all__ = ["fresh_path", "release", "remaining", "remove", "row_key", "shared_folder", "slices", "small_batches", "stage", "utf8", "word_count"]
+
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Text bytes that a Python worker holds as objects at a time.
 SLICE_BYTES = 4 << 20
@@ -18,21 +22,36 @@ SLICE_BYTES = 4 << 20
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or (unset, as in tests) one in the warehouse."""
-    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (own or spark.conf.get("spark.sql.warehouse.dir") + "/_work").rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Keys of rows that are broadcast at once, at most; more are joined by a shuffle.
+BROADCAST_KEYS = 1 << 18
+
+
+def row_key(docs: DataFrame, key: str, text: str) -> tuple[Column, Column]:
+    """What tells rows apart: the id (long, maybe null) and the MD5 of the text (null is empty)."""
+    return docs[f"`{key}`"].cast("long"), F.unhex(F.md5(F.coalesce(docs[f"`{text}`"], F.lit("")).cast("binary")))
+
+
+def remaining(docs: DataFrame, id_of: Column, digest_of: Column, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """docs without the rows whose key (row_key()) is in gone, and with one row for each key in again.
+
+    gone and again: doc_id, digest. Texts are not shuffled where the keys are at most BROADCAST_KEYS. Of rows with one key
+    in again, that with the least hash of all its columns stays; helper columns have fresh names."""
+    mark = uuid.uuid4().hex
+    i, d = f"id_{mark}", f"digest_{mark}"
+    repeated = again.count()
+    out = [gone.select(F.col("doc_id").alias(f"g{i}"), F.col("digest").alias(f"g{d}"))]
+    out += [again.select(F.col("doc_id").alias(f"g{i}"), F.col("digest").alias(f"g{d}"))] if repeated else []
+    keys = out[0] if not repeated else out[0].unionByName(out[1])
+    small = gone.count() + repeated <= BROADCAST_KEYS
+    keyed = docs.select("*", id_of.alias(i), digest_of.alias(d))
+    join = lambda other, how: keyed.join(F.broadcast(other) if small else other.hint("merge"), F.col(i).eqNullSafe(F.col(f"g{i}")) & (F.col(d) == F.col(f"g{d}")), how)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    left = join(keys, "left_anti").select(*columns)
+    if not repeated:
+        return left
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    one = join(out[1], "left_semi").groupBy(i, d).agg(F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias("row"))
+    return left.unionByName(one.select("row.*"))
 
 
 def small_batches(spark: SparkSession) -> None:

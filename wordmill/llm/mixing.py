@@ -12,12 +12,15 @@ comparison with its source's cut, and texts are never shuffled.
 
 Edge cases: null text has size 0 and is taken 0 times; a null source is a source of its own, last;
 sources with no words have target 0; rows that are equal in id, text and source are taken together or
-left together; an empty table gives an empty result. Keys depend on id and text only,
+left together; an empty table gives an empty result; texts of any length are counted whole and never shuffled;
+further columns keep their values whatever their names. Keys depend on id and text only,
 so that reruns agree whatever the partitions.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,9 +34,9 @@ RANGE_ROWS, BROADCAST_SOURCES = 4096, 10_000
 KEY_BITS = 48
 
 
-def sort_key(key: str, text: str) -> Column:
+def sort_key(key: Column, text: Column) -> Column:
     """Uniform in 0 to 2**48 - 1: the leading 48 bits of the MD5 of id and text."""
-    seed = F.concat_ws("\u0001", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+    seed = F.concat_ws("\u0001", F.coalesce(key.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
     return F.conv(F.substring(F.md5(seed.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -55,7 +58,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: fl
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size, k for each row."""
-    return docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), sort_key(key, text).alias("k"))
+    return docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), sort_key(F.col(key), F.col(text)).alias("k"))
 
 
 def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
@@ -107,8 +110,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
     """The mix itself: rows of docs as often as they are taken, with all their columns, no text shuffled."""
     rows = stage(keyed(docs, key, text, source), "mix-rows")
-    per = stage(plan(rows, weights, share, limit), "mix-plan").select(F.col("source").alias("__s"), F.col("epochs").alias("__e"), F.col("cut_k").alias("__c"))
+    plans = stage(plan(rows, weights, share, limit), "mix-plan")
+    fresh = uuid.uuid4().hex  # helper columns clash with none of docs
+    s, e, c, t, x = (f"{n}_{fresh}" for n in "sectx")
+    per = plans.select(F.col("source").alias(s), F.col("epochs").alias(e), F.col("cut_k").alias(c))
     per = F.broadcast(per) if per.count() <= BROADCAST_SOURCES else per
-    joined = docs.join(per, docs[f"`{source}`"].cast("string").eqNullSafe(F.col("__s")))
-    times = F.when(~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), 0).otherwise(F.col("__e") + F.when(sort_key(key, text) < F.col("__c"), 1).otherwise(0))
-    return joined.withColumn("__t", times.cast("int")).where(F.col("__t") > 0).withColumn("__x", F.explode(F.sequence(F.lit(1), F.col("__t")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.join(per, docs[f"`{source}`"].cast("string").eqNullSafe(F.col(s)))
+    body = docs[f"`{text}`"]
+    times = F.when(~F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), 0).otherwise(F.col(e) + F.when(sort_key(docs[f"`{key}`"], body) < F.col(c), 1).otherwise(0))
+    return joined.withColumn(t, times.cast("int")).where(F.col(t) > 0).withColumn(x, F.explode(F.sequence(F.lit(1), F.col(t)))).select(*[F.col(f"`{n}`") for n in docs.columns])
