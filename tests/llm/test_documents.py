@@ -388,6 +388,14 @@ def test_shards(spark, docs, texts):
         slots[r["shard"]].append(r["slot"])
         assert of.setdefault(texts[r["doc_id"]], r["shard"]) == r["shard"]
     assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and set(slots) <= set(range(40))
+    # no shard is farther from the mean than half of the largest bin or item, and groups are far below a shard here at sf0.01
+    size = defaultdict(int)
+    for r in queries.op9_shards(spark, "/root/testdata/sf0.01").collect():
+        size[r["shard"]] += r["size"]
+    assert len(size) == 40 and max(size.values()) - min(size.values()) <= 0.02 * sum(size.values()) / 40
+    same = spark.createDataFrame([(None, "copy")] * 3000 + [(7, "copy")] * 10 + [(i, f"t{i}") for i in range(50)], "doc_id long, text string")
+    made = shard.shard(same, shards=4).collect()
+    assert len(made) == 3060 and all(sorted(r["slot"] for r in made if r["shard"] == k) == list(range(sum(r["shard"] == k for r in made))) for k in range(4))
     edge = shard.shard(docs, shards=3)
     assert edge.count() == len(ROWS) and edge.where("doc_id = 3").select("shard").distinct().count() == 1
     assert shard.shard(docs.limit(0)).count() == 0

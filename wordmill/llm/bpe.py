@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gc
 import json
+import os
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -23,7 +24,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from wordmill.llm.common import slices, small_batches
@@ -50,6 +52,20 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
+def ship(spark: SparkSession, path: str) -> None:
+    """Send the tokenizer's file along, for executors that do not have it at its path."""
+    if path not in _shipped:
+        spark.sparkContext.addFile(path)
+        _shipped.add(path)
+
+
+_shipped: set[str] = set()
+
+
+def local(path: str) -> str:
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 class Vocabulary:
     """Merges of a byte-level BPE file with word ends, and which tokens can stand side by side."""
 
@@ -66,7 +82,7 @@ class Vocabulary:
         self.inner: dict[bytes, int] = {}
 
     def _read(self) -> dict:
-        with open(self.path, encoding="utf-8") as file:
+        with open(local(self.path), encoding="utf-8") as file:
             return json.load(file)
 
     def _prepare(self) -> None:
@@ -196,7 +212,7 @@ class Vocabulary:
         if self.library is None:
             from tokenizers import Tokenizer
 
-            self.library = Tokenizer.from_file(self.path)
+            self.library = Tokenizer.from_file(local(self.path))
         pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(map(self.to_bytes, piece)) for piece, _ in pieces if piece]
 
@@ -500,6 +516,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str]
     if clash := {"n_tokens", "ids", "decoded"} & {*keep}:
         raise ValueError(f"columns {sorted(clash)} would clash")
     small_batches(docs.sparkSession)
+    ship(docs.sparkSession, tokenizer)
     kept = T.StructType([docs.schema[c] for c in keep])
     schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *([T.StructField("decoded", T.StringType())] if decode else [])])
     inner = "__text"

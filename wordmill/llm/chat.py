@@ -14,7 +14,8 @@ Rows of a conversation are dealt by its id and stream through a task in order: w
 window and its history, so a conversation of any length is formatted in bounded memory.
 
 Edge cases: a null text is empty; a null role is the role ``""``; turns are ordered by turn (null
-first), then role and text, so repeated rows each stay a turn; a null conv_id is a conversation.
+first), then role and text, so repeated rows each stay a turn; a null conv_id is a conversation; a text of any length
+is one turn; further columns are not read, whatever their names; an empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordmill.llm import bpe
+
 BUDGET, HISTORY = 512, 128
 SYSTEM, USER, ASSISTANT = "system", "user", "assistant"
 MARKS = {SYSTEM: ("<<SYS>>", "<</SYS>>"), USER: ("[INST]", "[/INST]"), ASSISTANT: ("<s>", "</s>")}
@@ -66,15 +69,26 @@ def parse(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def count_words(text: str) -> int:
-    return sum(1 for _ in WORD.finditer(text)) + 2
+def count_words(texts: list[str]) -> list[int]:
+    """Tokens of turns where no tokenizer is given: words, and two for the marks."""
+    return [sum(1 for _ in WORD.finditer(t)) + 2 for t in texts]
+
+
+def count_ids(tokenizer: str):
+    """Tokens of turns as operator 1 encodes them, and two for the marks."""
+
+    def count(texts: list[str]) -> list[int]:
+        ends = bpe.encoder(tokenizer).column(pa.array(texts, pa.large_string()))[1]
+        return [b - a + 2 for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+    return count
 
 
 class Conversation:
     """Turns in, windows out. Sums of tokens run over the whole conversation."""
 
-    def __init__(self, conv, budget: int, history: int, count=count_words):
-        self.conv, self.budget, self.history, self.count = conv, budget, history, count
+    def __init__(self, conv, budget: int, history: int):
+        self.conv, self.budget, self.history = conv, budget, history
         self.system: tuple[str, str, int] | None = None
         self.past: deque[tuple[str, str, int]] = deque()  # turns before the window, with the sum before each
         self.new: list[tuple[str, str, int]] = []
@@ -86,8 +100,8 @@ class Conversation:
         repeated = self.start - self.past[0][2] if self.past else 0
         return self.budget - (self.system[2] if self.system and self.windows else 0) - repeated
 
-    def add(self, role: str, text: str) -> Iterator[tuple]:
-        n = self.count(text)
+    def add(self, role: str, text: str, n: int) -> Iterator[tuple]:
+        """n: the turn's tokens."""
         if self.new and self.sum + n - self.start > self.room():
             yield self.close()
         self.new.append((role, text, self.sum))
@@ -108,7 +122,7 @@ class Conversation:
             parts += [begin, body, end]
             at += len(begin) + len(body) + len(end)
         first = self.turns - len(self.new)
-        tokens = self.sum - self.start + sum(self.count(t) for _, t in repeated)
+        tokens = self.sum - self.start + (self.start - self.past[0][2] if self.past else 0) + (self.system[2] if led else 0)
         row = (self.conv, self.windows, first, len(repeated), tokens, "".join(parts), loss)
         # the history of the next window: the last turns whose tokens fit, the system turn aside
         for turn in self.new[1 if self.system and not self.windows else 0 :]:
@@ -120,9 +134,13 @@ class Conversation:
         return row
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, count=count_words, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, window, first_turn (number of the first new turn), repeated (leading turns that an
-    earlier window had), tokens, text and loss (spans of code points in text)."""
+    earlier window had), tokens, text and loss (spans of code points in text). Windows of a conversation follow one
+    another in one partition. tokenizer: the file by which operator 1 counts a turn's tokens (None: words are counted)."""
+    count = count_ids(tokenizer) if tokenizer else count_words
+    if tokenizer:
+        bpe.ship(turns.sparkSession, tokenizer)
     rows = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
@@ -137,12 +155,13 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, coun
             return batch
 
         for batch in batches:
-            for cid, who, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            cids, roles, texts = (c.to_pylist() for c in batch.columns)
+            for cid, who, body, n in zip(cids, roles, texts, count(texts), strict=True):
                 if now is None or now.conv != cid:
                     if now:
                         out.append(now.close())
-                    now = Conversation(cid, budget, history, count)
-                out.extend(now.add(who, body))
+                    now = Conversation(cid, budget, history)
+                out.extend(now.add(who, body, n))
                 if len(out) >= 512:
                     yield packed()
         if now:
@@ -153,10 +172,13 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, coun
     return dealt.mapInArrow(run, WINDOWS)
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, in_order: bool = False) -> DataFrame:
     """What windows() wrote, read from text, repeated and loss alone: conv_id, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars. Streams windows in order; holds one at a time."""
-    dealt = formatted.select("conv_id", "window", "repeated", "text", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    loss_chars, loss_sha256, formatted_chars. Streams windows in order; holds one at a time.
+
+    in_order: formatted is just what windows() returns, so its rows need not be dealt and sorted again."""
+    dealt = formatted.select("conv_id", "window", "repeated", "text", "loss")
+    dealt = dealt if in_order else dealt.repartition("conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, state, now = [], None, None

@@ -6,28 +6,29 @@ Nyström: phi(x) = k(x, landmarks) W with W the inverse root of the landmarks' k
 one-versus-rest kernel ridge regression on phi with targets +1 and -1. A batch is scored by two
 matrix products: presences x landmarks' presences, then (normalised) x coefficients.
 
-What is learned from is bounded: at most per_lang rows of each of the max_langs most frequent
-languages, chosen by a hash of the whole row (parameters; the hash picks rows, it is no input of a prediction). Executors turn those texts into sets of
-n-grams; only these reach the driver, never texts. All rows are scored, on their whole texts.
+What is learned from is bounded: at most per_lang different texts of each language, and fewer if that would be more than
+most in all (parameters), chosen by a hash of text and language; every language is learned. Executors turn those texts into
+sets of n-grams; only these reach the driver, never texts. All rows are scored, on their whole texts.
 
 The gate (predict(gate=True)) tells texts that are like nothing learned from, which the regression cannot: its
 best value is near 0.5 there. Counted are a text's distinct 3-grams that some landmark has. A text is out if
 their share is below least_known, three quarters of the 1 % quantile of that share over the rows learned from
 (a landmark is held against all others), by more than 1 / sqrt(number of its 3-grams), the allowance for short texts.
 
-Edge cases: a null text, and one without letters, is `und` with score 0. Rows with a null text or
+Edge cases: a null text, and one without letters (of Unicode's categories L), is `und` with score 0. Rows with a null text or
 language are never learned from. An empty learning table gives `und` for every row. Equal scores:
-the language that is first by code point wins. Further columns are carried through.
+the language that is first by code point wins. Repeated rows count once in what is learned, and are scored one by one.
+Further columns are carried through (one named lang_pred or score: ValueError).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +41,7 @@ SIGNS = 64
 SPACE = SIGNS + SIGNS**2 + SIGNS**3
 #: Where the places of 3-grams begin.
 THREE = SIGNS + SIGNS**2
-HAS_LETTER = re.compile(r"[^\W\d_]")
+HAS_LETTER = regex.compile(r"\p{L}")
 
 
 def sign_table() -> np.ndarray:
@@ -143,36 +144,35 @@ def train(sets: list[np.ndarray], labels: list[str], landmarks: int, ridge: floa
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
     # sums over blocks of rows of phi' phi and phi' y
-    left, right = np.zeros((root.shape[1] + 1,) * 2), np.zeros((root.shape[1] + 1, len(langs)))
+    left, right = np.zeros((root.shape[1],) * 2), np.zeros((root.shape[1], len(langs)))
     count = {x: labels.count(x) for x in langs}
     for start in range(0, len(sets), 512):
         ids = list(range(start, min(start + 512, len(sets))))
         many = np.array([len(sets[i]) for i in ids], np.float32)
         kernel = dense(ids) @ marks.T / np.sqrt(np.maximum(many, 1)[:, None] * size[None, :])
-        phi = np.hstack([kernel @ root, np.zeros((len(ids), 1))])
+        phi = kernel @ root
         target = np.array([[1.0 if labels[i] == x else -1.0 for x in langs] for i in ids])
         weight = np.array([1 / count[labels[i]] for i in ids])
         left += phi.T @ (phi * weight[:, None])
         right += phi.T @ (target * weight[:, None])
-    beta = np.linalg.solve(left + ridge * np.eye(len(left)), right)[:-1]
+    beta = np.linalg.solve(left + ridge * np.eye(len(left)), right)
     return Model(langs, used, marks, size, (root @ beta).astype(np.float32), 0.75 * known_share(sets, chosen))
 
 
-def sample(labelled: DataFrame, text: str, lang: str, per_lang: int, max_langs: int) -> DataFrame:
-    """At most per_lang rows (lang, grams array<int>, key) of each language, by a hash of the text.
+def sample(labelled: DataFrame, text: str, lang: str, per_lang: int, most: int) -> DataFrame:
+    """At most per_lang rows (lang, grams array<int>, key) of each language, of different texts, by a hash of text and language.
 
-    A first pass counts rows of each language; then a threshold on the hash leaves few rows, and
-    only these are ranked, so no language's rows meet in one task."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("__l")).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "__l").limit(max_langs).collect()
-    rate = {r["__l"]: min(1.0, 1.5 * (per_lang + 20) / r["__n"]) for r in counts}
-    if not rate:
-        return rows.select(F.col(lang).alias("lang"), F.array().cast("array<int>").alias("grams"), F.lit(0).cast("long").alias("key")).limit(0)
-    key = F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind])
-    bound = F.lit(None).cast("double")
-    for name, share in rate.items():
-        bound = F.when(F.col(lang) == name, F.lit((share - 0.5) * 2.0**64)).otherwise(bound)
-    few = rows.withColumn("__k", key).where(F.col("__k").cast("double") <= bound).select(F.col(lang).alias("lang"), F.col(text).alias("__text"), "__k")
+    A first pass estimates each language's number of different texts; then a threshold on the hash leaves few, copies
+    of a text are merged where they are found, and only the rest is ranked, so no language's rows meet in one task."""
+    rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("__text")).where("lang is not null and __text is not null")
+    rows = rows.withColumn("__k", F.xxhash64("__text", "lang"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("__k", 0.02).alias("n")).collect()}  # a row for each language
+    if not sizes:
+        return rows.select("lang", F.array().cast("array<int>").alias("grams"), F.lit(0).cast("long").alias("key")).limit(0)
+    per_lang = max(1, min(per_lang, most // len(sizes)))
+    rates = labelled.sparkSession.createDataFrame([(name, (min(1.0, 1.5 * (per_lang + 20) / max(1, n)) - 0.5) * 2.0**64) for name, n in sizes.items()], "l string, bound double")
+    few = rows.join(F.broadcast(rates), (F.col("lang") == F.col("l")) & (F.col("__k").cast("double") <= F.col("bound")))
+    few = few.groupBy("lang", "__k").agg(F.first("__text").alias("__text")).select("lang", "__text", "__k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "__text"):
@@ -186,10 +186,10 @@ def sample(labelled: DataFrame, text: str, lang: str, per_lang: int, max_langs:
     return made.withColumn("__r", rank).where(F.col("__r") <= per_lang).drop("__r")
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 400, max_langs: int = 64, landmarks: int = 192, ridge: float = 1e-3) -> Model | None:
-    """Learn from at most per_lang * max_langs rows of labelled (their n-gram sets come to the driver)."""
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 400, most: int = 25_600, landmarks: int = 192, ridge: float = 1e-3) -> Model | None:
+    """Learn from at most per_lang texts of each language, and most in all (or one of each); their n-gram sets come to the driver."""
     small_batches(labelled.sparkSession)
-    rows = sorted(sample(labelled, text, lang, per_lang, max_langs).collect(), key=lambda r: (r["key"], r["lang"]))
+    rows = sorted(sample(labelled, text, lang, per_lang, most).collect(), key=lambda r: (r["key"], r["lang"]))
     return train([np.array(r["grams"], np.int64) for r in rows], [r["lang"] for r in rows], landmarks, ridge)
 
 

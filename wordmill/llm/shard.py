@@ -6,14 +6,15 @@ shards bins. The items and bins, whose number depends on the shards only, are sp
 differencing: the two partial partitions with the largest spread are combined in opposite order,
 again and again, until one is left.
 
-Slots: rows of a bin are dealt by a hash of the id into pieces of bounded size; counts of pieces are
-summed in order within each shard, and rows are numbered within their piece, so no shard or hot
-group is sorted in one task.
+Slots: rows of a bin are dealt by a hash of id, size and checksum into pieces of bounded size; rows equal in these are counted
+first and are one row of their piece. Counts of pieces are summed in order within each shard, and rows are numbered within
+their piece, so no shard, hot group or hot id is sorted in one task.
 
 Law `bytes`: shards' bytes are as near equal as groups that can't be split allow.
 
 Edge cases: a null text has no bytes (size: the overhead) and is grouped with empty texts; a null id
-is numbered first in its piece; repeated rows each get a slot; an empty table gives an empty result.
+is numbered first in its piece; repeated rows each get a slot; an empty table gives an empty result; texts of any length count
+whole and are never shuffled; further columns are not read, whatever their names.
 Two texts with one 64-bit hash are put into one group, which only makes that group larger.
 """
 
@@ -78,10 +79,12 @@ def shard(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "t
     part = differencing([r["bytes"] for r in summed], shards)
     known = F.broadcast(spark.createDataFrame([(r["item"], p, max(1, -(-r["rows"] // PIECE_ROWS))) for r, p in zip(summed, part, strict=True)], "i int, shard int, pieces long"))
     placed = rows.join(own, F.col("g") == F.col("lg"), "left").withColumn("item", item).join(known, F.col("item") == F.col("i"))
-    placed = placed.withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.col("pieces"))).select("doc_id", "size", "text_crc32", "shard", "item", "piece")
-    counts = placed.groupBy("shard", "item", "piece").agg(F.count("*").alias("n"))
+    same = placed.groupBy("shard", "item", "pieces", "doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    dealt = stage(same.withColumn("piece", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.col("pieces"))).drop("pieces"), "shard-pieces")
+    counts = dealt.groupBy("shard", "item", "piece").agg(F.sum("n").alias("rows"))
     upto = Window.partitionBy("shard").orderBy("item", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(upto), F.lit(0))).select(F.col("item").alias("si"), F.col("piece").alias("sp"), "start")
-    inside = F.row_number().over(Window.partitionBy("item", "piece").orderBy("doc_id", "size", "text_crc32")) - 1
-    numbered = placed.withColumn("inside", inside).join(starts, (F.col("item") == F.col("si")) & (F.col("piece") == F.col("sp")))
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("inside")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    starts = counts.withColumn("start", F.coalesce(F.sum("rows").over(upto), F.lit(0))).select(F.col("item").alias("si"), F.col("piece").alias("sp"), "start")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("item", "piece").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = dealt.withColumn("inside", before).join(starts, (F.col("item") == F.col("si")) & (F.col("piece") == F.col("sp")))
+    each = numbered.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"), (F.col("start") + F.col("inside")).alias("first"))
+    return each.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("copy")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

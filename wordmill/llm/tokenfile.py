@@ -154,7 +154,7 @@ class LibraryWords:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.model = Tokenizer.from_file(bpe.local(path)).model
         self.symbol = bpe.byte_symbols()
 
     def __call__(self, words) -> dict[bytes, list[int]]:
@@ -175,6 +175,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id",
     """doc_id long, ids binary (packed 16-bit if the vocabulary allows), part int. One scan."""
     cuts = cuts or []
     small_batches(docs.sparkSession)
+    bpe.ship(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = library_encoder(tokenizer)

@@ -6,7 +6,8 @@ small labelled table of URLs, which is a parameter; the default is below.
 
 Edge cases: a URL that is null or has no `://` has an empty host and path and gets the verdict of an
 empty feature set; host and path are taken literally (ports and user names stay in the host);
-repeated rows are judged one by one; an empty table gives an empty result.
+repeated rows are judged one by one; an empty table gives an empty result; a URL of any length gives all its n-grams;
+further columns of pages are not read, whatever their names.
 """
 
 from __future__ import annotations
