@@ -133,7 +133,12 @@ def test_contexts(spark):
     rows = tokens.explode_tokens(spark.createDataFrame([(1, "x y t z w")], "doc_id long, text string"), tokens.unicode_words(F.col("text")), "doc_id")
     got = found(counts.context_counts(counts.contexts(rows, "doc_id", ["t"])), "prev", "next", "n")
     assert got == {("y", "z"): 1, ("x", "y"): 1, ("z", "w"): 1}
-    assert found(counts.weighted_contexts(rows, "doc_id", ["t"]), "word", "weight") == {"y": 2, "z": 2, "x": 1, "w": 1}
+    docs, listed = spark.createDataFrame([(1, "x y t z w"), (2, "t"), (3, "t t"), (4, "")], "doc_id long, text string"), tokens.unicode_words(F.col("text"))
+    both = [counts.contexts_of(docs, listed, "doc_id", ["t"]), counts.contexts(tokens.explode_tokens(docs, listed, "doc_id"), "doc_id", ["t"])]
+    assert sorted(both[0].select("doc_id", "prev", "next", "word").collect()) == sorted(both[1].select("doc_id", "prev", "next", "word").collect())
+    near = [windows.neighbours_of(docs, listed, "doc_id"), windows.neighbours(tokens.explode_tokens(docs, listed, "doc_id"), "doc_id")]
+    assert sorted(map(str, near[0].select(near[1].columns).collect())) == sorted(map(str, near[1].collect()))
+    assert found(counts.weighted_contexts(docs.where("doc_id = 1"), listed, ["t"]), "word", "weight") == {"y": 2, "z": 2, "x": 1, "w": 1}
 
 
 def test_segmentation_score(spark):

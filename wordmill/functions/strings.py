@@ -55,6 +55,23 @@ def argmax(values: Column) -> Column:
     return F.array_position(values, F.array_max(values))
 
 
+def argsort(values: Column, descending: bool = False) -> Column:
+    """Places (from 1) of an array's elements in order; of equal ones the first place first."""
+    sign = -1 if descending else 1
+    placed = F.transform(values, lambda x, i: F.struct((x * sign).alias("x"), (i + 1).alias("i")))
+    return F.transform(F.array_sort(placed), lambda p: p["i"])
+
+
+def shown(value: Column) -> Column:
+    """An array, map or struct as text (JSON)."""
+    return F.to_json(value)
+
+
+def file_digests(spark, path: str):
+    """(path, md5): the MD5 of whole files (each as large as a row may be)."""
+    return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 

@@ -16,6 +16,12 @@ def presence(tokens: DataFrame, doc: str, *by: str) -> DataFrame:
     return tokens.select(doc, *by, "word").distinct().groupBy(*by, "word").agg(F.count("*").alias("n"))
 
 
+def document_frequency(tokens: DataFrame, doc: str, least: int = 1) -> DataFrame:
+    """(word, df, tf): documents with the word and its occurrences, for words in at least so many documents."""
+    per = tokens.groupBy(doc, "word").agg(F.count("*").alias("n"))
+    return per.groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).where(F.col("df") >= least)
+
+
 def marginals(counts: DataFrame, label: str) -> DataFrame:
     """(word, label), (word), (label) and () sums of n in one pass; level is grouping_id(word, label)."""
     return counts.groupingSets([["word", label], ["word"], [label], []], "word", label).agg(F.sum("n").alias("n"), F.grouping_id("word", label).cast("int").alias("level"))
@@ -26,21 +32,22 @@ def document_sets(docs: DataFrame, words: Column, *keep: str) -> DataFrame:
     return docs.select(*keep, F.array_sort(F.array_distinct(words)).alias("words"))
 
 
-def _all_pairs(words: Column, start: Column) -> Column:
-    return F.flatten(F.transform(words, lambda a, i: F.transform(F.slice(words, i + 2, F.size(words)), lambda b: F.struct(a.alias("w1"), b.alias("w2")))))
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly before they are multiplied: n words are shuffled for the n(n-1)/2 pairs that tasks then make."""
+    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def unordered_pairs(sets: DataFrame, *keep: str) -> DataFrame:
-    """keep, w1 < w2: pairs of distinct words of each row, made inside the row (no join, no shuffle).
+    """keep, w1 < w2: pairs of distinct words of each row. Pairs are made one after the other, never held as an array.
 
     A row makes n(n-1)/2 pairs of its n words; cut words first (min_df, best words) for long texts."""
-    return sets.where(F.size("words") > 1).select(*keep, F.explode(_all_pairs(F.col("words"), F.lit(0))).alias("p")).select(*keep, "p.w1", "p.w2")
+    heads = _spread(sets.where(F.size("words") > 1).select(*keep, "words")).select(*keep, "words", F.posexplode("words").alias("__i", "w1"))
+    return heads.select(*keep, "w1", F.explode(F.slice("words", F.col("__i") + 2, F.size("words"))).alias("w2"))
 
 
 def ordered_pairs(docs: DataFrame, words: Column, *keep: str) -> DataFrame:
     """keep, w1, w2: every two positions i < j with different words, direction kept."""
-    listed = docs.select(*keep, words.alias("words"))
-    return listed.where(F.size("words") > 1).select(*keep, F.explode(_all_pairs(F.col("words"), F.lit(0))).alias("p")).select(*keep, "p.w1", "p.w2").where("w1 <> w2")
+    return unordered_pairs(docs.select(*keep, words.alias("words")), *keep).where("w1 <> w2")
 
 
 def pair_counts(pairs: DataFrame, *by: str, least: int = 1) -> DataFrame:
@@ -51,9 +58,23 @@ def pair_counts(pairs: DataFrame, *by: str, least: int = 1) -> DataFrame:
 PADDING = "*"
 
 
+def contexts_of(docs: DataFrame, words: Column, key: str, aims: list[str], padding: str = PADDING) -> DataFrame:
+    """contexts() of rows that hold all their words, made inside the row: nothing is shuffled or sorted."""
+    listed = docs.select(key, words.alias("words"))
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(*aims))
+
+    def triples(i):
+        w = lambda k: F.get("words", i + k)
+        pad = lambda c: F.coalesce(c, F.lit(padding))
+        triple = lambda p, n: F.struct(p.alias("prev"), n.alias("next"), F.get("words", i).alias("word"))
+        return F.array(F.when(w(-1).isNotNull() | w(1).isNotNull(), triple(pad(w(-1)), pad(w(1)))), F.when(w(-2).isNotNull(), triple(w(-2), w(-1))), F.when(w(2).isNotNull(), triple(w(1), w(2))))
+
+    return listed.where(F.size("words") > 0).select(key, F.explode(F.array_compact(F.flatten(F.transform(at, triples)))).alias("c")).select(key, "c.prev", "c.next", "c.word")
+
+
 def contexts(tokens: DataFrame, key: str, aims: list[str], padding: str = PADDING) -> DataFrame:
     """(prev, next, word) of each aim: its neighbours, the two before it and the two after it; a pair
-    of two paddings is left out. Words come from arrays in the row, so nothing is shuffled."""
+    of two paddings is left out. Tokens are shuffled and sorted by key; contexts_of() does without."""
     w = Window.partitionBy(key).orderBy("pos")
     near = tokens.select(key, "pos", "word", *[F.lag("word", n).over(w).alias(f"b{n}") for n in (1, 2)], *[F.lead("word", n).over(w).alias(f"a{n}") for n in (1, 2)]).where(F.col("word").isin(*aims))
     pad = lambda c: F.coalesce(F.col(c), F.lit(padding))
@@ -66,12 +87,12 @@ def context_counts(triples: DataFrame) -> DataFrame:
     return triples.groupBy("prev", "next", "word").agg(F.count("*").alias("n"))
 
 
-def weighted_contexts(tokens: DataFrame, key: str, aims: list[str]) -> DataFrame:
-    """(aim, word, weight): words next to an aim count 2, those two away 1."""
-    w = Window.partitionBy(key).orderBy("pos")
-    near = tokens.select("word", *[F.lag("word", n).over(w).alias(f"b{n}") for n in (1, 2)], *[F.lead("word", n).over(w).alias(f"a{n}") for n in (1, 2)]).where(F.col("word").isin(*aims))
-    each = F.array(*[F.struct(F.col(c).alias("w"), F.lit(v).alias("v")) for c, v in (("b1", 2), ("a1", 2), ("b2", 1), ("a2", 1))])
-    return near.select(F.col("word").alias("aim"), F.explode(each).alias("e")).where("e.w is not null").groupBy("aim", F.col("e.w").alias("word")).agg(F.sum("e.v").alias("weight"))
+def weighted_contexts(docs: DataFrame, words: Column, aims: list[str]) -> DataFrame:
+    """(aim, word, weight): words next to an aim count 2, those two away 1. Made inside the row, then summed."""
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(*aims))
+    near = F.transform(at, lambda i: F.array(*[F.struct(F.get("words", i).alias("aim"), F.get("words", i + k).alias("word"), F.lit(v).alias("v")) for k, v in ((-1, 2), (1, 2), (-2, 1), (2, 1))]))
+    each = docs.select(words.alias("words")).where(F.size("words") > 0).select(F.explode(F.flatten(near)).alias("e")).where("e.word is not null")
+    return each.groupBy("e.aim", "e.word").agg(F.sum("e.v").alias("weight"))
 
 
 def row_share(counts: DataFrame, by: list[str], name: str = "share") -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wordmill.operators.vocab import number_rows
+from wordmill.plans.staging import stage
+
 
 def hash_split(rows: DataFrame, key: str, share: float, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(train, test) by a hash of the key: stable, no shuffle, the share is met on average."""
@@ -48,3 +51,29 @@ def segmentation_score(rows: DataFrame, key: str, truth: str, output: str, known
 
 def right(predicted: Column, truth: Column) -> Column:
     return F.avg((predicted == truth).cast("double"))
+
+
+def ratio_split(rows: DataFrame, label: str, share: float, *order: str, first: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, test): of each class, in the given order, the first share of the first class's number of rows, and the last 1 - share
+    of it. first: that class (default: the least label). Numbers come from one range sort, no class is sorted in one task."""
+    placed = stage(number_rows(rows, label, *order, name="__i"), "ratio-split")
+    sizes = {r[label]: (r["low"], r["n"]) for r in placed.groupBy(label).agg(F.min("__i").alias("low"), F.count("*").alias("n")).collect()}  # a row for each class
+    if not sizes:
+        return placed.drop("__i"), placed.drop("__i")
+    base = sizes[min(sizes) if first is None else first][1]
+    head, tail = int(base * share), base - int(base * share)
+    bounds = F.create_map(*[F.lit(x) for name, (low, _) in sizes.items() for x in (name, low)]), F.create_map(*[F.lit(x) for name, (low, n) in sizes.items() for x in (name, low + n)])
+    low, high = bounds[0][F.col(label)], bounds[1][F.col(label)]
+    return placed.where(F.col("__i") < low + head).drop("__i"), placed.where(F.col("__i") >= high - tail).drop("__i")
+
+
+def segmentation_edits(rows: DataFrame, key: str, truth: str, output: str) -> DataFrame:
+    """One row: insertions, deletions, substitutions. Between two words that both sides have, with d words of the truth and i of
+    the output, min(d, i) are substitutions, the rest deletions or insertions."""
+    want, got = spans(rows, key, truth).withColumn("t", F.lit(1)).drop("word"), spans(rows, key, output).withColumn("o", F.lit(1)).drop("word")
+    both = want.join(got, [key, "start", "stop"], "full")
+    right = F.col("t").isNotNull() & F.col("o").isNotNull()
+    gap = F.sum(right.cast("int")).over(Window.partitionBy(key).orderBy("start", "stop"))
+    gaps = both.withColumn("gap", gap).where(~right).groupBy(key, "gap").agg(F.count("t").alias("d"), F.count("o").alias("i"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return gaps.agg(total(F.greatest(F.col("i") - F.col("d"), F.lit(0))).alias("insertions"), total(F.greatest(F.col("d") - F.col("i"), F.lit(0))).alias("deletions"), total(F.least("d", "i")).alias("substitutions"))

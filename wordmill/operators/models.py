@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordmill.operators import features
@@ -24,6 +24,11 @@ def presence_vectors(docs: DataFrame, words: list[str], column: str = "words") -
     return model.setBinary(True).transform(docs)
 
 
+def one_hot(label: Column, values: list[str]) -> Column:
+    """array<double>: 1 at the place of the label among values (all 0 for another)."""
+    return F.array(*[F.coalesce((label == v).cast("double"), F.lit(0.0)) for v in values])
+
+
 def fit(method: str, featured: DataFrame, label: str = "label"):
     return METHODS[method]().setLabelCol(label).setFeaturesCol("features").fit(featured)
 

@@ -126,11 +126,15 @@ def viterbi(text: str, hmm: Hmm) -> str:
     emit = lambda s, c: hmm.emit[s].get(c, MIN_LOG)
     score = {s: hmm.start[s] + emit(s, text[0]) for s in STATES}
     back: list[dict[str, str]] = []
+    steps = {s: [(p, hmm.trans[p][s]) for p in "EBMS"] for s in STATES}  # of equal ones the first in this order
     for ch in text[1:]:
         came, new = {}, {}
         for s in STATES:
-            came[s] = max(sorted(STATES, key="EBMS".index), key=lambda p: score[p] + hmm.trans[p][s])  # noqa: B023
-            new[s] = score[came[s]] + hmm.trans[came[s]][s] + emit(s, ch)
+            best, value = "", -math.inf
+            for p, t in steps[s]:
+                if not best or score[p] + t > value:
+                    best, value = p, score[p] + t
+            came[s], new[s] = best, value + emit(s, ch)
         back.append(came)
         score = new
     state = "E" if score["E"] >= score["S"] else "S"
@@ -215,15 +219,13 @@ def level(text: str, lexicon: Lexicon) -> list[tuple[str, int]]:
     return out
 
 
-def all_segmentations(text: str, lexicon: Lexicon, most: int = 10_000) -> Iterator[list[str]]:
-    """Every way to cut a text into dictionary words and single characters (raises past `most`)."""
-    count, stack = 0, [(0, [])]
+def all_segmentations(text: str, lexicon: Lexicon) -> Iterator[list[str]]:
+    """Every way to cut a text into dictionary words and single characters, one after the other: memory is that of one path,
+    the number of ways has no bound (a caller may stop, or LIMIT the table function's rows)."""
+    stack = [(0, [])]
     while stack:
         at, words = stack.pop()
         if at == len(text):
-            count += 1
-            if count > most:
-                raise ValueError(f"more than {most} segmentations")
             yield words
             continue
         stack.extend((j, [*words, text[at:j]]) for j, _ in edges_at(text, at, lexicon, 512))
@@ -238,11 +240,11 @@ def least_surprise(candidates, hmm: Hmm) -> list[str]:
     return min(candidates, key=cost)
 
 
-METHODS = ("mp", "hmm", "mix", "full", "query")
+METHODS = ("mp", "hmm", "mix", "full", "query", "level")
 
 
 def segment_text(text: str, method: str, lexicon: Lexicon, hmm: Hmm | None) -> list[str]:
-    call = {"mp": lambda t: mp(t, lexicon), "hmm": lambda t: hmm_cut(t, hmm), "mix": lambda t: mix(t, lexicon, hmm), "full": lambda t: full(t, lexicon), "query": lambda t: query(t, lexicon, hmm)}[method]
+    call = {"mp": lambda t: mp(t, lexicon), "hmm": lambda t: hmm_cut(t, hmm), "mix": lambda t: mix(t, lexicon, hmm), "full": lambda t: full(t, lexicon), "query": lambda t: query(t, lexicon, hmm), "level": lambda t: [w for w, _ in level(t, lexicon)]}[method]
     return [w for part in _CUT.findall(text) for w in ([part] if part in SPECIAL else call(part))]
 
 
@@ -255,7 +257,17 @@ def segment(spark: SparkSession, method: str, lexicon: Lexicon, hmm: Hmm | None
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         words, states = model.value
-        return texts.map(lambda t: segment_text(t, method, words, states) if t else [])
+        known: dict[str, list[str]] = {}  # the parts of one batch, each cut once
+
+        def parts(text: str) -> list[str]:
+            out: list[str] = []
+            for part in _CUT.findall(text):
+                if part not in known:
+                    known[part] = segment_text(part, method, words, states)
+                out += known[part]
+            return out
+
+        return texts.map(lambda t: parts(t) if t else [])
 
     return cut
 
@@ -280,14 +292,14 @@ def pos_tag(tokens: DataFrame, lexicon: DataFrame, compat: bool = False) -> Data
     return tokens.join(known, "word", "left").withColumn("tag", F.coalesce(F.nullif(F.col("__tag"), F.lit("")), rule)).drop("__tag")
 
 
-def register_all_segmentations(spark: SparkSession, lexicon: Lexicon, name: str = "all_segmentations", most: int = 10_000) -> None:
+def register_all_segmentations(spark: SparkSession, lexicon: Lexicon, name: str = "all_segmentations") -> None:
     """A table function name(text): a row (words array<string>) for each way to cut a text."""
     from pyspark.sql.functions import udtf
 
     @udtf(returnType="words: array<string>")
     class Cut:
         def eval(self, text: str):
-            for words in all_segmentations(text or "", lexicon, most):
+            for words in all_segmentations(text or "", lexicon):
                 yield (words,)
 
     spark.udtf.register(name, Cut)

@@ -36,6 +36,20 @@ def best(scored: DataFrame, keys: list[str]) -> DataFrame:
     return top.withColumn("sense", F.when(F.col("score") == 0, F.lit(UNDEFINED)).otherwise(F.col("sense")))
 
 
+def one_shot(docs: DataFrame, counts: DataFrame, thesaurus: DataFrame, key: str, aims: list[str], stop: list[str] = (), least: int = 5) -> DataFrame:
+    """(key, word, sense, score): the sense of the first occurrence of each aim in a text of at least so many words; shorter
+    texts have no row. docs: key, words array<string>. Counts are shares of their context's total; contexts of a padding and a
+    stop word are left out."""
+    listed = docs.where(F.size("words") >= least)
+    first = F.filter(F.transform(F.array(*[F.lit(a) for a in aims]), lambda a: F.struct(a.alias("word"), F.array_position("words", a).alias("i"))), lambda x: x["i"] > 0)
+    w = lambda k: F.get("words", (F.col("a.i") - 1 + k).cast("int"))
+    pad = lambda c: F.coalesce(c, F.lit("*"))
+    triple = lambda p, n: F.struct(p.alias("prev"), n.alias("next"))
+    every = F.array(F.when(w(-1).isNotNull() | w(1).isNotNull(), triple(pad(w(-1)), pad(w(1)))), F.when(w(-2).isNotNull(), triple(w(-2), w(-1))), F.when(w(2).isNotNull(), triple(w(1), w(2))))
+    found = listed.select(key, "words", F.explode(first).alias("a")).select(key, F.col("a.word").alias("word"), F.explode(F.array_compact(every)).alias("c")).select(key, "word", "c.prev", "c.next")
+    return best(scores(suppress_half_padded(found, list(stop)), counts, thesaurus, [key], normalise=True), [key])
+
+
 def polysemous(thesaurus: DataFrame, least: int = 2) -> DataFrame:
     """Words with at least that many senses."""
     return thesaurus.groupBy("word").agg(F.countDistinct("sense").alias("senses")).where(F.col("senses") >= least)

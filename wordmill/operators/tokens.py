@@ -74,6 +74,11 @@ def length_ok(text: Column, least: int | None = None, most: int | None = None, i
     return F.coalesce(ok, F.lit(False))
 
 
+def size_ok(words: Column, least: int, most: int) -> Column:
+    """The number of words is in these bounds."""
+    return F.coalesce(F.size(words).between(least, most), F.lit(False))
+
+
 def stop_list(stop: DataFrame, targets: DataFrame, extra: list[str] = ()) -> DataFrame:
     """(word): stop words that are no targets, and some more."""
     more = stop.sparkSession.createDataFrame([(w,) for w in extra], "word string")

@@ -17,6 +17,21 @@ def neighbours(tokens: DataFrame, key: str, reach: int = 2, edge: str | None = E
     return tokens.withColumns(named)
 
 
+def neighbours_of(docs: DataFrame, words: Column, *keep: str, reach: int = 2, edge: str | None = EDGE) -> DataFrame:
+    """keep, pos, word and its neighbours, of rows that hold all their words: made inside the row, nothing is shuffled."""
+    pad = (lambda c: F.coalesce(c, F.lit(edge))) if edge is not None else (lambda c: c)
+    names = {f"b{n}": -n for n in range(reach, 0, -1)} | {f"a{n}": n for n in range(1, reach + 1)}
+    near = F.transform("words", lambda w, i: F.struct((i + 1).alias("pos"), w.alias("word"), *[pad(F.get("words", i + k)).alias(n) for n, k in names.items()]))
+    return docs.select(*keep, words.alias("words")).select(*keep, F.explode(near).alias("e")).select(*keep, "e.*")
+
+
+def adjacent_pairs(docs: DataFrame, words: Column, *keep: str) -> DataFrame:
+    """keep, w1, w2: each word and its successor, made inside the row."""
+    listed = docs.select(*keep, words.alias("words")).where(F.size("words") > 1)
+    both = F.arrays_zip(F.slice("words", 1, F.size("words") - 1).alias("w1"), F.slice("words", 2, F.size("words")).alias("w2"))
+    return listed.select(*keep, F.explode(both).alias("p")).select(*keep, "p.w1", "p.w2")
+
+
 def attributes(tokens: DataFrame, key: str, edge: str | None = EDGE) -> DataFrame:
     """feats: the seven attributes of a position for a sequence tagger (interior ones only if edge is None)."""
     near = neighbours(tokens, key, 2, edge)
@@ -59,10 +74,15 @@ def tag_sequence(words: Column) -> Column:
 
 
 def transitions(docs: DataFrame, words: Column) -> DataFrame:
-    """(tag, next_tag, n, share): transitions of BEMS tags within each row, share of the tag's."""
-    tags = docs.select(tag_sequence(words).alias("t"))
-    pairs = tags.where(F.size("t") > 1).select(F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("tag"), F.slice("t", 2, F.size("t")).alias("next_tag"))).alias("p"))
-    counts = pairs.groupBy(F.col("p.tag").alias("tag"), F.col("p.next_tag").alias("next_tag")).agg(F.count("*").alias("n"))
+    """(tag, next_tag, n, share): transitions of BEMS tags within each row, share of the tag's.
+
+    Counted from the words' lengths (inside a word and at its border to the next), so no row is made for a character."""
+    sizes = docs.select(F.filter(F.transform(words, lambda w: F.char_length(w)), lambda n: n > 0).alias("s"))
+    each = sizes.select(F.explode(F.transform("s", lambda n, i: F.struct(n.alias("n"), F.get("s", i + 1).alias("m")))).alias("e")).select("e.*")
+    n, m = F.col("n"), F.col("m")
+    told = {("B", "E"): n == 2, ("B", "M"): n > 2, ("M", "E"): n > 2, ("M", "M"): F.greatest(n - 3, F.lit(0)), ("E", "B"): (n > 1) & (m > 1), ("E", "S"): (n > 1) & (m == 1), ("S", "B"): (n == 1) & (m > 1), ("S", "S"): (n == 1) & (m == 1)}
+    sums = each.agg(*[F.coalesce(F.sum(v.cast("long")), F.lit(0)).alias(a + b) for (a, b), v in told.items()])
+    counts = sums.select(F.explode(F.array(*[F.struct(F.lit(a).alias("tag"), F.lit(b).alias("next_tag"), F.col(a + b).alias("n")) for a, b in told])).alias("e")).select("e.*").where("n > 0")
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("tag")), 9))
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wordmill.functions import chars, strings
 from wordmill.operators import bayes, cooc, counts, evaluate, features, maxent, models, ner, neural, retrieval, segment, senses, tokens, topics, vocab, windows
@@ -146,8 +147,7 @@ def term_freq_by_label(spark, sf_dir):
 
 @query("doc_freq", f"WITH {TOK} SELECT word, count(DISTINCT doc_id) AS df, count(*) AS tf FROM tok GROUP BY word HAVING count(DISTINCT doc_id) > 5")
 def doc_freq(spark, sf_dir):
-    per = words_of(table(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    return per.groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).where("df > 5")
+    return counts.document_frequency(words_of(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", least=6)
 
 
 def present(spark, sf_dir) -> DataFrame:
@@ -265,21 +265,28 @@ def posterior_argmax(spark, sf_dir):
     return best.join(p, ["doc_id", "label"]).select("doc_id", "label", F.round("posterior", 6).alias("p"))
 
 
-SWEEP = (100, 500, 2000)
+#: The numbers of words of the original's grids.
+GRID = [2000, 4000, 6000, 8000, 10_000, 12_000, 15_000, 20_000, 25_000, 30_000, 35_000]
 
 
-@query("sweep_best_n", " UNION ALL ".join("SELECT * FROM (" + (MULTI + PICK).replace("LIMIT 2000", f"LIMIT {n}") + f" SELECT {n} AS n_words, count(*) AS n, CAST(sum(CASE WHEN pick.label = test.quality THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM pick JOIN test USING (doc_id) WHERE r = 1)" for n in SWEEP))
+@query("sweep_best_n", NB + f""", ranked AS (SELECT word, row_number() OVER (ORDER BY chi2 DESC, word) AS rank FROM (SELECT word, round(chi2, 6) AS chi2 FROM chi)), ns AS (SELECT * FROM (VALUES {', '.join(f'({n})' for n in GRID)}) v(n_words)),
+own AS (SELECT n_words, word, pri.label, n_docs, lp FROM ranked JOIN ns ON rank <= n_words CROSS JOIN pri),
+occ AS (SELECT word, quality AS label, count(*) AS n FROM lab GROUP BY word, quality),
+mdl AS (SELECT n_words, word, label, ln((coalesce(occ.n, 0) + 1.0::DOUBLE) / (sum(coalesce(occ.n, 0)) OVER (PARTITION BY n_words, label) + 1.0::DOUBLE * count(*) OVER (PARTITION BY n_words, label))) AS ll, (coalesce(cnt.n, 0) + 1.0::DOUBLE) / (n_docs + 2) AS p FROM own LEFT JOIN occ USING (word, label) LEFT JOIN cnt USING (word, label)),
+tt AS (SELECT tok.doc_id, word, count(*) AS tf FROM tok JOIN test USING (doc_id) GROUP BY ALL),
+hit AS (SELECT n_words, doc_id, label, sum(tf * ll) AS m, sum(ln(p) - ln(1 - p)) AS b FROM tt JOIN mdl USING (word) GROUP BY ALL),
+absent AS (SELECT n_words, label, sum(ln(1 - p)) AS a FROM mdl GROUP BY ALL),
+sc AS (SELECT n_words, test.doc_id, test.quality, pri.label, lp + coalesce(m, 0) AS multinomial, lp + a + coalesce(b, 0) AS bernoulli FROM ns CROSS JOIN test CROSS JOIN pri JOIN absent USING (n_words, label) LEFT JOIN hit USING (n_words, doc_id, label)),
+u AS (SELECT n_words, 'multinomial' AS model, doc_id, quality, label, multinomial AS score FROM sc UNION ALL SELECT n_words, 'bernoulli', doc_id, quality, label, bernoulli FROM sc),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words, model, doc_id ORDER BY round(score, 6) DESC, label) AS r FROM u)
+SELECT n_words, model, count(*) AS n, CAST(sum(CASE WHEN label = quality THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM r WHERE r = 1 GROUP BY ALL""")
 def sweep_best_n(spark, sf_dir):
     own, held, test, seen, _, prior = nb_parts(spark, sf_dir)
     occurrences = stage(counts.occurrences(own, "label"), "nb-counts")
-    chi = stage(features.chi_square(seen, "label"), "nb-chi")
-    out = None
-    for n in SWEEP:
-        model = bayes.train_multinomial(occurrences, features.top(chi, n).select("word"), prior, "label")
-        best = bayes.best(bayes.score_multinomial(test, held, model, prior, "doc_id", "label"), "doc_id", "label")
-        row = bayes.accuracy(best, test, "doc_id", "label").select(F.lit(n).alias("n_words"), "n", "correct")
-        out = row if out is None else out.unionByName(row)
-    return out
+    told = bayes.sweep(test, held, occurrences, seen, features.chi_square(seen, "label"), prior, GRID, "doc_id", "label")
+    best = told.groupBy("n_words", "model", "doc_id").agg(F.min_by("label", F.struct((-F.round("score", 6)).alias("s"), "label")).alias("label"))
+    joined = best.join(test.select("doc_id", F.col("label").alias("truth")), "doc_id")
+    return joined.groupBy("n_words", "model").agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("truth")).cast("long")).alias("correct"))
 
 
 # ---- word pairs (conversations: a turn is a document, its role the class)
@@ -306,9 +313,9 @@ own AS (SELECT DISTINCT conv_id, p.w1, p.w2 FROM pairs p JOIN (SELECT DISTINCT w
 
 def cooc_parts(spark, sf_dir):
     sets = turn_sets(spark, sf_dir)
-    pairs = counts.unordered_pairs(sets, "conv_id", "role")
-    train = stage(counts.pair_counts(pairs, "role", least=2), "pairs")
-    own = stage(pairs.join(train.select("w1", "w2").distinct(), ["w1", "w2"], "left_semi").select("conv_id", "w1", "w2").distinct(), "own-pairs")
+    train = stage(counts.pair_counts(counts.unordered_pairs(sets, "role"), "role", least=2), "pairs")
+    kept = train.select("w1", "w2").distinct()
+    own = counts.unordered_pairs(sets, "conv_id").distinct().join(kept, ["w1", "w2"], "left_semi")
     words = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return own, train, words, stage(train.select("role").distinct(), "roles")
 
@@ -316,13 +323,44 @@ def cooc_parts(spark, sf_dir):
 @query("cooc_score_v1", f"WITH {SHARED} SELECT conv_id, role, round(avg(-ln(coalesce(t.n, 0) / CAST(c1.n + c2.n AS DOUBLE) + 1e-10)), 6) AS score FROM own CROSS JOIN roles LEFT JOIN train t USING (role, w1, w2) JOIN wc c1 ON c1.word = own.w1 JOIN wc c2 ON c2.word = own.w2 GROUP BY conv_id, role")
 def cooc_score_v1(spark, sf_dir):
     own, train, words, roles = cooc_parts(spark, sf_dir)
-    return cooc.score_v1(own, train, words, roles, "conv_id", "role").withColumn("score", F.round("score", 6))
+    return cooc.score_v1(own, train, words, roles, "conv_id", "role", unique=True).withColumn("score", F.round("score", 6))
 
 
 @query("cooc_score_v3", f"WITH {SHARED}, sh AS (SELECT role, w1, w2, n, n / CAST(sum(n) OVER (PARTITION BY w1, w2) AS DOUBLE) AS p FROM train) SELECT conv_id, role, round(avg(coalesce(-n * ln(p + 1e-10), -ln(1e-10))), 6) AS score FROM own CROSS JOIN roles LEFT JOIN sh USING (role, w1, w2) GROUP BY conv_id, role")
 def cooc_score_v3(spark, sf_dir):
     own, train, _, roles = cooc_parts(spark, sf_dir)
-    return cooc.score_v3(own, train, roles, "conv_id", "role").withColumn("score", F.round("score", 6))
+    return cooc.score_v3(own, train, roles, "conv_id", "role", unique=True).withColumn("score", F.round("score", 6))
+
+
+@query("cooc_score_v0", f"WITH {SHARED} SELECT conv_id, role, round(sum(ln(coalesce(t.n, 0) / CAST(c1.n + c2.n AS DOUBLE) + 1e-10)), 4) AS score FROM own CROSS JOIN roles LEFT JOIN train t USING (role, w1, w2) JOIN wc c1 ON c1.word = own.w1 JOIN wc c2 ON c2.word = own.w2 GROUP BY conv_id, role")
+def cooc_score_v0(spark, sf_dir):
+    own, train, words, roles = cooc_parts(spark, sf_dir)
+    return cooc.score_v0(own, train, words, roles, "conv_id", "role", unique=True).withColumn("score", F.round("score", 4))
+
+
+@query("cooc_score_v2", f"""WITH {SHARED}, rc AS (SELECT role, word, count(*) AS n FROM (SELECT role, unnest(ws) AS word FROM turns) GROUP BY role, word),
+s AS (SELECT conv_id, role, avg(-ln(coalesce(t.n / CAST(c1.n + c2.n AS DOUBLE), 0) + 1e-10)) AS score FROM own CROSS JOIN roles LEFT JOIN train t USING (role, w1, w2) LEFT JOIN rc c1 ON c1.word = own.w1 AND c1.role = roles.role LEFT JOIN rc c2 ON c2.word = own.w2 AND c2.role = roles.role GROUP BY conv_id, role),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY score, role) AS INTEGER) AS rank FROM s) SELECT conv_id, role, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def cooc_score_v2(spark, sf_dir):
+    own, train, _, roles = cooc_parts(spark, sf_dir)
+    within = turn_sets(spark, sf_dir).select("role", F.explode("words").alias("word")).groupBy("role", "word").agg(F.count("*").alias("n"))
+    return cooc.score_v2(own, train, within, roles, "conv_id", "role", unique=True).withColumn("score", F.round("score", 6))
+
+
+# the variant without a cut of rare pairs and without the factor n
+@query("cooc_score_plain", f"WITH {CONV}, train AS (SELECT role, w1, w2, count(*) AS n FROM pairs GROUP BY role, w1, w2), roles AS (SELECT DISTINCT role FROM train), own AS (SELECT DISTINCT conv_id, w1, w2 FROM pairs), sh AS (SELECT role, w1, w2, n / CAST(sum(n) OVER (PARTITION BY w1, w2) AS DOUBLE) AS p FROM train) SELECT conv_id, role, round(avg(coalesce(-ln(p + 1e-10), -ln(1e-10))), 6) AS score FROM own CROSS JOIN roles LEFT JOIN sh USING (role, w1, w2) GROUP BY conv_id, role")
+def cooc_score_plain(spark, sf_dir):
+    sets = turn_sets(spark, sf_dir)
+    train = stage(counts.pair_counts(counts.unordered_pairs(sets, "role"), "role"), "pairs")
+    own = counts.unordered_pairs(sets, "conv_id").distinct()
+    return cooc.score_v3(own, train, train.select("role"), "conv_id", "role", weighted=False, unique=True).withColumn("score", F.round("score", 6))
+
+
+@query("cooc_evidence", f"WITH {SHARED}, sh AS (SELECT role, w1, w2, n, n / CAST(sum(n) OVER (PARTITION BY w1, w2) AS DOUBLE) AS p FROM train) SELECT role, w1, w2, n, round(-n * ln(p + 1e-10), 6) AS score, count(*) AS conversations FROM own JOIN sh USING (w1, w2) GROUP BY ALL")
+def cooc_evidence(spark, sf_dir):
+    own, train, _, _ = cooc_parts(spark, sf_dir)
+    told = cooc.evidence_v3(own, train, "conv_id", "role").withColumn("score", F.round("score", 6))
+    return told.groupBy("role", "w1", "w2", "n", "score").agg(F.count("*").alias("conversations"))
 
 
 @query("pair_chi_square", f"WITH {CONV}, cnt AS (SELECT w1 || ' ' || w2 AS word, role AS label, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) > 1), {CHI.format(off='(n_xi - n_ii)')} SELECT word, round(chi2, 6) AS chi2 FROM chi")
@@ -341,12 +379,12 @@ c AS (SELECT doc_id, pos, coalesce(b1, '*') AS prev, coalesce(a1, '*') AS next,
 
 @query("context_counts", CTX + " SELECT prev, next, word, count(*) AS n FROM c GROUP BY prev, next, word")
 def context_counts(spark, sf_dir):
-    return counts.context_counts(counts.contexts(words_of(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", AIMS))
+    return counts.context_counts(counts.contexts_of(table(spark, sf_dir, "documents"), tokens.unicode_words(F.col("text")), "doc_id", AIMS))
 
 
 @query("weighted_context", CTX + f", x AS (SELECT word AS aim, b1 AS word, 2 AS v FROM l WHERE word IN ({listed(AIMS)}) UNION ALL SELECT word, a1, 2 FROM l WHERE word IN ({listed(AIMS)}) UNION ALL SELECT word, b2, 1 FROM l WHERE word IN ({listed(AIMS)}) UNION ALL SELECT word, a2, 1 FROM l WHERE word IN ({listed(AIMS)})) SELECT aim, word, CAST(sum(v) AS BIGINT) AS weight FROM x WHERE word IS NOT NULL GROUP BY aim, word")
 def weighted_context(spark, sf_dir):
-    return counts.weighted_contexts(words_of(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", AIMS)
+    return counts.weighted_contexts(table(spark, sf_dir, "documents"), tokens.unicode_words(F.col("text")), AIMS)
 
 
 SENSE = CTX.replace(f"word IN ({listed(AIMS)})", f"word IN ({listed(sorted({*AIMS, *(s for _, _, s in THESAURUS)}))})") + f""", th AS (SELECT * FROM (VALUES {values(THESAURUS)}) v(aim, sense, synonym)),
@@ -360,11 +398,19 @@ SELECT doc_id, aim AS word, sense, round(coalesce(s * hits / CAST(size AS DOUBLE
 @query("sense_scores", SENSE)
 def sense_scores(spark, sf_dir):
     thesaurus = spark.createDataFrame(THESAURUS, "word string, sense string, synonym string")
-    triples = stage(counts.contexts(words_of(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", sorted({*AIMS, *(s for _, _, s in THESAURUS)})), "triples")
+    triples = stage(counts.contexts_of(table(spark, sf_dir, "documents"), tokens.unicode_words(F.col("text")), "doc_id", sorted({*AIMS, *(s for _, _, s in THESAURUS)})), "triples")
     occurrences = triples.where(F.col("word").isin(*AIMS))
     return senses.scores(occurrences, counts.context_counts(triples), thesaurus, ["doc_id"]).withColumn("score", F.round(F.col("score").cast("double"), 6))
 
 
+@query("sense_scores_share", SENSE.replace("cc AS (SELECT prev, next, word AS synonym, count(*) AS n FROM c GROUP BY ALL)", "cc AS (SELECT prev, next, word AS synonym, count(*) / CAST(sum(count(*)) OVER (PARTITION BY prev, next) AS DOUBLE) AS n FROM c GROUP BY prev, next, word)"))
+def sense_scores_share(spark, sf_dir):
+    thesaurus = spark.createDataFrame(THESAURUS, "word string, sense string, synonym string")
+    triples = stage(counts.contexts_of(table(spark, sf_dir, "documents"), tokens.unicode_words(F.col("text")), "doc_id", sorted({*AIMS, *(s for _, _, s in THESAURUS)})), "triples")
+    told = senses.scores(triples.where(F.col("word").isin(*AIMS)), counts.context_counts(triples), thesaurus, ["doc_id"], normalise=True)
+    return told.withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
 @query("sense_expand", f"""WITH {TOK}, th AS (SELECT * FROM (VALUES {values(THESAURUS)}) v(aim, sense, synonym)),
 one AS (SELECT synonym FROM th GROUP BY synonym HAVING count(DISTINCT aim || '/' || sense) = 1)
 SELECT doc_id, pos, tok.word AS synonym, th.aim AS word, sense FROM tok JOIN th ON th.synonym = tok.word JOIN one ON one.synonym = tok.word""")
@@ -376,14 +422,13 @@ def sense_expand(spark, sf_dir):
 # ---- positional features
 @query("neighbor_features", f"WITH {TOK} SELECT word, coalesce(lag(word, 1) OVER z, '*') AS b1, coalesce(lag(word, 2) OVER z, '*') AS b2, coalesce(lead(word, 1) OVER z, '*') AS a1, coalesce(lead(word, 2) OVER z, '*') AS a2, doc_id, pos FROM tok WINDOW z AS (PARTITION BY doc_id ORDER BY pos)")
 def neighbor_features(spark, sf_dir):
-    return windows.neighbours(words_of(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    return windows.neighbours_of(table(spark, sf_dir, "documents"), tokens.unicode_words(F.col("text")), "doc_id")
 
 
 @query("adjacent_bigrams", f"WITH {TOK}, n AS (SELECT lang, word AS w1, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS w2 FROM tok) SELECT lang, w1, w2, count(*) AS n FROM n WHERE w2 IS NOT NULL GROUP BY ALL")
 def adjacent_bigrams(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", tokens.unicode_words(F.col("text")).alias("ws"))
-    pairs = docs.where(F.size("ws") > 1).select("lang", F.explode(F.arrays_zip(F.slice("ws", 1, F.size("ws") - 1).alias("w1"), F.slice("ws", 2, F.size("ws")).alias("w2"))).alias("p"))
-    return pairs.groupBy("lang", F.col("p.w1").alias("w1"), F.col("p.w2").alias("w2")).agg(F.count("*").alias("n"))
+    pairs = windows.adjacent_pairs(table(spark, sf_dir, "documents"), tokens.unicode_words(F.col("text")), "lang")
+    return pairs.groupBy("lang", "w1", "w2").agg(F.count("*").alias("n"))
 
 
 @query("bems_transitions", r"""WITH w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS ws FROM documents)),
@@ -425,6 +470,43 @@ def seg_score(spark, sf_dir):
     return evaluate.segmentation_score(rows, "doc_id", "truth", "output")
 
 
+SPANS = "WITH a AS (" + ENDS.format(k="t", e=r"regexp_extract_all(lower(text), '\p{L}+')") + " UNION ALL " + ENDS.format(k="o", e=PIECES) + "), s AS (SELECT doc_id, k, word, sum(length(word)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop, length(word) AS n FROM a), t AS (SELECT doc_id, stop - n AS start, stop, word FROM s WHERE k = 't'), o AS (SELECT doc_id, stop - n AS start, stop, 1 AS got FROM s WHERE k = 'o'), b AS (SELECT doc_id, start, stop, word, got FROM t FULL JOIN o USING (doc_id, start, stop))"
+
+
+@query("seg_edits", SPANS + ", g AS (SELECT *, sum(CASE WHEN word IS NOT NULL AND got IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, stop) AS gap FROM b), h AS (SELECT doc_id, gap, count(word) AS d, count(got) AS i FROM g WHERE word IS NULL OR got IS NULL GROUP BY ALL) SELECT CAST(sum(greatest(i - d, 0)) AS BIGINT) AS insertions, CAST(sum(greatest(d - i, 0)) AS BIGINT) AS deletions, CAST(sum(least(d, i)) AS BIGINT) AS substitutions FROM h")
+def seg_edits(spark, sf_dir):
+    words = tokens.unicode_words(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("truth"), tokens.longest_match(F.array_join(words, ""), [w for w, _ in LEXICON]).alias("output"))
+    return evaluate.segmentation_edits(rows, "doc_id", "truth", "output")
+
+
+@query("seg_oov", SPANS + ", k AS (SELECT word FROM (SELECT DISTINCT doc_id, word FROM t) GROUP BY word HAVING count(*) > 5), m AS (SELECT t.word, got IS NOT NULL AS ok, k.word IS NOT NULL AS iv FROM b t LEFT JOIN k ON k.word = t.word WHERE t.word IS NOT NULL) SELECT count(*) AS n, round(avg(CASE WHEN iv THEN 0.0 ELSE 1.0 END), 9) AS oov_rate, round(avg(CASE WHEN NOT iv THEN CAST(ok AS DOUBLE) END), 9) AS oov_recall, round(avg(CASE WHEN iv THEN CAST(ok AS DOUBLE) END), 9) AS iv_recall FROM m")
+def seg_oov(spark, sf_dir):
+    docs, words = table(spark, sf_dir, "documents"), tokens.unicode_words(F.col("text"))
+    rows = docs.select("doc_id", words.alias("truth"), tokens.longest_match(F.array_join(words, ""), [w for w, _ in LEXICON]).alias("output"))
+    known = counts.document_frequency(words_of(docs, "doc_id"), "doc_id", least=6)
+    told = evaluate.segmentation_score(rows, "doc_id", "truth", "output", known)
+    return told.select(F.col("n_truth").alias("n"), *[F.round(c, 9).alias(c) for c in ("oov_rate", "oov_recall", "iv_recall")])
+
+
+@query("bems_emissions", f"WITH {TOK}, c AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM tok) SELECT CASE WHEN length(word) = 1 THEN 'S' WHEN i = 1 THEN 'B' WHEN i = length(word) THEN 'E' ELSE 'M' END AS tag, substr(word, i, 1) AS ch, count(*) + 1 AS n FROM c GROUP BY ALL")
+def bems_emissions(spark, sf_dir):
+    return windows.emissions(table(spark, sf_dir, "documents"), tokens.unicode_words(F.col("text")))
+
+
+@query("length_filters", r"""SELECT count(*) FILTER (WHERE length(text) <= 30) AS short, count(*) FILTER (WHERE strlen(text) BETWEEN 1 AND 100) AS few_bytes, count(*) FILTER (WHERE len(regexp_extract_all(text, '\p{L}+')) BETWEEN 4 AND 99) AS some_words, count(*) FILTER (WHERE len(list_distinct(regexp_extract_all(lower(text), '\p{L}+'))) >= 2) AS pairs FROM documents""")
+def length_filters(spark, sf_dir):
+    text, words = F.col("text"), tokens.unicode_words(F.col("text"))
+    kept = {"short": tokens.length_ok(text, None, 30), "few_bytes": tokens.length_ok(text, 1, 100, in_bytes=True), "some_words": tokens.size_ok(words, 4, 99), "pairs": tokens.size_ok(F.array_distinct(words), 2, 1 << 30)}
+    return table(spark, sf_dir, "documents").agg(*[F.count_if(ok).alias(name) for name, ok in kept.items()])
+
+
+@query("packed_keys", "SELECT (l_orderkey << 12) | l_linenumber AS packed, l_orderkey AS high, CAST(l_linenumber AS BIGINT) AS low FROM lineitem")
+def packed_keys(spark, sf_dir):
+    key = strings.pack(F.col("l_orderkey"), F.col("l_linenumber"), 12)
+    return table(spark, sf_dir, "lineitem").select(key.alias("packed")).select("packed", strings.unpack_high(F.col("packed"), 12).alias("high"), strings.unpack_low(F.col("packed"), 12).alias("low"))
+
+
 @query("entity_merge", f"""WITH {TOK}, g AS (SELECT doc_id, pos, word, CASE WHEN word IN ({listed(STOP)}) THEN 'nr' ELSE 'n' END AS tag FROM tok),
 r AS (SELECT *, sum(CASE WHEN tag = 'nr' AND p = 'nr' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, lag(tag) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM g))
 SELECT doc_id, min(pos) AS first_pos, string_agg(word, '' ORDER BY pos) AS word, any_value(tag) AS tag FROM r GROUP BY doc_id, run""")
@@ -444,8 +526,7 @@ def cosine_topk(spark, sf_dir):
 @query("embedding_pairs_dot", """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT label, unnest(range(1, 65)) AS i, unnest(e) AS x FROM v), m AS (SELECT label, i, avg(x) AS x FROM c GROUP BY ALL)
 SELECT a.label AS l1, b.label AS l2, round(sum(a.x * b.x), 6) AS dot FROM m a JOIN m b ON a.i = b.i AND a.label < b.label GROUP BY ALL""")
 def embedding_pairs_dot(spark, sf_dir):
-    each = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    mean = each.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
+    mean = retrieval.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding")
     other = mean.select(F.col("label").alias("l2"), F.col("v").alias("v2"))
     return mean.join(other, F.col("label") < F.col("l2")).select(F.col("label").alias("l1"), "l2", F.round(strings.dot(F.col("v"), F.col("v2")), 6).alias("dot"))
 
@@ -480,23 +561,41 @@ def full_segment(spark, sf_dir):
 
 
 # ---- iterative models
+def maxent_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Labelled documents as ranks of the best words by chi-square over the training rows; every third is held out."""
+    own, held, test, seen, _, _ = nb_parts(spark, sf_dir)
+    best = features.top(features.chi_square(seen, "label"), GRID[-1])
+    words = stage(best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("chi2"), "word")) - 1).select("word", "rank"), "maxent-words")  # the model's words
+    train = own.select("doc_id", "label").distinct()
+    return stage(maxent.ranked(own, train, words, "doc_id"), "maxent-train"), stage(maxent.ranked(held, test.select("doc_id", "label"), words, "doc_id"), "maxent-test")
+
+
 @query("maxent_gis")
 def maxent_gis(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
-    words = stage(words_of(docs, "doc_id", "label"), "maxent-tokens")
-    best = stage(bayes.select_words(counts.presence(words, "doc_id", "label"), "label", 2000), "maxent-words")
-    own = tokens.keep_words(words, best)
-    model = maxent.train_gis(own, docs.select("doc_id", "label"), "doc_id", "label")
-    p = maxent.predict(own, docs.select("doc_id", "label"), model, "doc_id", "label")
+    train, test = maxent_rows(spark, sf_dir)
+    p = maxent.GisGrid(train, GRID[:1]).train(40).predict(test, "doc_id")
     return p.select("doc_id", "label", F.round("p", 6).alias("p"))
 
 
+@query("maxent_grid")
+def maxent_grid(spark, sf_dir):
+    train, test = maxent_rows(spark, sf_dir)
+    p = maxent.GisGrid(train, GRID).train(40).predict(test, "doc_id")
+    best = p.groupBy("n_words", "doc_id").agg(F.min_by("label", F.struct((-F.round("p", 9)).alias("s"), "label")).alias("label"))
+    joined = best.join(test.select("doc_id", F.col("label").alias("truth")), "doc_id")
+    return joined.groupBy("n_words").agg(F.count("*").alias("n"), F.sum((F.col("label") == F.col("truth")).cast("long")).alias("correct"))
+
+
 @query("logreg_sentiment")
 def logreg_sentiment(spark, sf_dir):
+    """Held-out predictions, with the 2000 best words by chi-square over the training rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    featured, _ = topics.vectors(docs, tokens.unicode_words(F.col("text")), size=2000)
-    model = maxent.logistic(featured)
-    return model.transform(featured).select("doc_id", "label", "prediction")
+    rows = stage(docs.select("doc_id", "label", tokens.unicode_words(F.col("text")).alias("words")), "sentiment")
+    train, test = evaluate.hash_split(rows, "doc_id", 0.8)
+    seen = counts.presence(tokens.explode_tokens(train, F.col("words"), "doc_id", "label"), "doc_id", "label")
+    best = [r["word"] for r in bayes.select_words(seen, "label", 2000).collect()]  # the model's words
+    model = maxent.logistic(models.presence_vectors(train, best))
+    return model.transform(models.presence_vectors(test, best)).select("doc_id", "label", "prediction")
 
 
 @query("lda_topics")
@@ -567,5 +666,4 @@ def stream_scores(spark, sf_dir):
 
 @query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    return events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    return scoring.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wordmill.operators.segment import Hmm, parse_hmm
+from wordmill.operators.tokens import unicode_words
 
 
 def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -41,14 +42,16 @@ def polarity(spark: SparkSession, positive: str, negative: str) -> DataFrame:
 
 
 def bracket_labels(line: Column, most: int = 512) -> Column:
-    """struct<labels,text> of `[a,b]text`; labels are null without brackets; null beyond `most` characters."""
+    """struct<labels,text> of `[a,b]text`; labels are null without brackets; null if the text after them has more than `most` characters."""
     labels = F.regexp_extract(line, r"^\[(.+?)\](.+)", 1)
-    body = F.when(labels != "", F.regexp_extract(line, r"^\[(.+?)\](.+)", 2)).otherwise(line)
-    return F.when(F.char_length(line) <= most, F.struct(F.when(labels != "", F.split(labels, ",")).alias("labels"), body.alias("text")))
+    body = F.when(labels != "", F.trim(F.regexp_extract(line, r"^\[(.+?)\](.+)", 2))).otherwise(line)
+    return F.when(F.char_length(body) <= most, F.struct(F.when(labels != "", F.split(labels, ",")).alias("labels"), body.alias("text")))
 
 
-def multi_labelled(spark: SparkSession, path: str) -> DataFrame:
-    return lines(spark, path).select(bracket_labels(F.trim("value")).alias("r")).where("r is not null").select("r.labels", "r.text")
+def multi_labelled(spark: SparkSession, path: str, words=unicode_words) -> DataFrame:
+    """(labels, text, words): documents without words are dropped."""
+    rows = lines(spark, path).select(bracket_labels(F.trim("value")).alias("r")).where("r is not null").select("r.labels", "r.text")
+    return rows.withColumn("words", words(F.col("text"))).where(F.size("words") > 0)
 
 
 def segmented(spark: SparkSession, path: str) -> DataFrame:
@@ -95,6 +98,20 @@ def user_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.col("p")[0].alias("word"), F.coalesce(F.get("p", F.lit(1)), F.lit("")).alias("tag"))
 
 
+def average_idf(spark: SparkSession, path: str, compat: bool = False) -> float:
+    """The average of idf_list(); compat divides by the number of physical lines, bad ones too."""
+    total = idf_list(spark, path).agg(F.sum("idf").alias("s"), F.count("*").alias("n")).first()
+    count = lines(spark, path).count() if compat else total["n"]
+    return (total["s"] or 0.0) / max(1, count)
+
+
+def with_user_words(words: DataFrame, user: DataFrame) -> DataFrame:
+    """(word, weight, tag, own): a weighted lexicon and user words, which weigh as much as the heaviest and replace namesakes."""
+    top = words.agg(F.max("weight").alias("weight"))
+    own = user.select("word", "tag").dropDuplicates(["word"]).crossJoin(F.broadcast(top)).select("word", "weight", "tag", F.lit(True).alias("own"))  # one row
+    return words.select("word", "weight", "tag", F.lit(False).alias("own")).join(own.select("word"), "word", "left_anti").unionByName(own)
+
+
 def idf_list(spark: SparkSession, path: str) -> DataFrame:
     """(word, idf) of lines of just two fields."""
     parts = lines(spark, path).select(F.split(F.trim("value"), " ").alias("p")).where(F.size("p") == 2)
@@ -143,11 +160,16 @@ def thesaurus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def thesaurus_lines(spark: SparkSession, path: str, pos: str = "v") -> DataFrame:
-    """(pos, sense, synonym) of `v 【….=】 syn syn` lines with at least three fields."""
+    """(pos, sense, synonym) of `v 【….=】 syn syn` lines with at least three fields; the word is in the sense before the point."""
     parts = lines(spark, path).select(F.split(F.trim("value"), r"\s+").alias("p")).where(F.size("p") >= 3)
     return parts.where(F.col("p")[0] == pos).where(F.col("p")[1].rlike(r"【.+\.=】")).select(F.col("p")[0].alias("pos"), F.regexp_extract(F.col("p")[1], r"【(.+)\.=】", 1).alias("sense"), F.explode(F.slice("p", 3, 1 << 20)).alias("synonym"))
 
 
+def thesaurus_words(blocks: DataFrame) -> DataFrame:
+    """(word): head words and synonyms of thesaurus blocks, for a vocabulary that is made before the corpus is read."""
+    return blocks.select(F.explode(F.concat(F.array("word"), "synonyms")).alias("word")).distinct()
+
+
 def unique_senses(spark: SparkSession, path: str, aims: DataFrame) -> DataFrame:
     """(word): lines `word|...=】...` with just one `=】` whose word is among aims."""
     rows = lines(spark, path).where(F.regexp_count("value", F.lit("=】")) == 1).select(F.split_part("value", F.lit("|"), F.lit(1)).alias("word"))
@@ -185,9 +207,23 @@ def write_attributes(rows: DataFrame, path: str, label: str = "label", feats: st
     rows.select(F.concat_ws("\t", label, F.array_join(feats, "\t"))).write.text(path)
 
 
-def write_pairs(counts: DataFrame, path: str) -> None:
-    """`label<TAB>w1~w2<TAB>n` lines of pair counts."""
-    counts.select(F.concat_ws("\t", "label", F.concat_ws("~", "w1", "w2"), F.col("n").cast("string"))).write.text(path)
+PAIR_LAYOUTS = {
+    "tilde": lambda: F.concat_ws("\t", "label", F.concat_ws("~", "w1", "w2"), F.col("n").cast("string")),
+    "bracket": lambda: F.concat("w1", F.lit("\t"), "w2", F.lit("["), "label", F.lit("]:"), F.col("n").cast("string")),
+    "dash": lambda: F.concat(F.lit("TAG:"), "label", F.lit(":\t"), "w1", F.lit("-"), "w2", F.lit(":"), F.col("n").cast("string")),
+}
+
+
+def write_pairs(counts: DataFrame, path: str, layout: str = "tilde") -> None:
+    """A line for each pair count, in one of three layouts: `label<TAB>w1~w2<TAB>n`, `w1<TAB>w2[label]:n` or `TAG:label:<TAB>w1-w2:n`."""
+    counts.select(PAIR_LAYOUTS[layout]().alias("value")).write.text(path)
+
+
+def write_senses(found: DataFrame, path: str) -> None:
+    """The report of a word-sense stage, a line for each word: found has word, sense, synonyms, examples, more (arrays of sentences)."""
+    block = F.concat(F.lit("  "), "sense", F.lit(" :: "), F.concat_ws(" ", "synonyms"), F.lit(" :: "), F.concat_ws(" | ", "examples"), F.lit(" :: "), F.concat_ws(" | ", "more"))
+    told = found.select("word", F.struct("sense", block.alias("line")).alias("s")).groupBy("word").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    told.select(F.concat(F.lit("[["), "word", F.lit("]]"), F.array_join(F.transform("s", lambda x: x["line"]), "")).alias("value")).write.text(path)
 
 
 def write_sections(sections: dict[str, DataFrame], path: str) -> None:
@@ -217,8 +253,8 @@ def cached(spark: SparkSession, path: str, name: str, build) -> DataFrame:
 
 
 def gather_examples(rows: DataFrame) -> DataFrame:
-    """(word, sense, examples): example sentences of each sense."""
-    return rows.groupBy("word", "sense").agg(F.array_sort(F.collect_set("example")).alias("examples"))
+    """(word, sense, examples): example sentences of each sense, repeated ones too."""
+    return rows.groupBy("word", "sense").agg(F.array_sort(F.collect_list("example")).alias("examples"))
 
 
 def running_blocks(rows: DataFrame, order: str, opens: Column, key: str = "file") -> DataFrame:
