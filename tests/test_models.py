@@ -41,7 +41,44 @@ def test_maxent_query_moves_off_uniform(spark, tmp_path):
     spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(d[0], d[2], 0) for d in docs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     p = {(r["doc_id"], r["label"]): r["p"] for r in catalogue.queries()["maxent_gis"](spark, str(tmp_path)).collect()}
-    assert min(p[d, label] for d, _, label in docs[:40]) > 0.55
+    held_out = {d for d, _ in p}
+    assert held_out == {d for d in range(41) if d % 3 == 2}  # every third row
+    assert min(p[d, label] for d, _, label in docs[:40] if d in held_out) > 0.55
+
+
+def test_gis_grid_is_gis(spark):
+    """Weights in arrays, for several numbers of words at once, against weights in tables."""
+    import random
+
+    from wordmill.operators import maxent
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice("pqr"), sorted({rng.randrange(9) for _ in range(rng.randrange(5))})) for i in range(30)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "id int, label string")
+    told = maxent.GisGrid(spark.createDataFrame(rows, "id int, label string, ranks array<int>"), [3, 9, 50]).train(4).predict(spark.createDataFrame(rows, "id int, label string, ranks array<int>"), "id")
+    got = {(r["n_words"], r["id"], r["label"]): r["p"] for r in told.collect()}
+    for n in (3, 9):
+        words = spark.createDataFrame([(i, f"w{k}") for i, _, ranks in rows for k in ranks if k < n], "id int, word string")
+        want = maxent.predict(words, docs, maxent.train_gis(words, docs, "id", "label", rounds=4), "id", "label").collect()
+        assert len(want) == 90 and all(abs(got[n, r["id"], r["label"]] - r["p"]) < 1e-9 for r in want)
+    assert all(abs(got[9, i, y] - got[50, i, y]) < 1e-12 for i, *_ in rows for y in "pqr")
+
+
+def test_sweep_is_one_size_at_a_time(spark):
+    from wordmill.operators import bayes, counts, features
+
+    rows = [(i, "pq"[i % 2], "abcdefgh"[(i * 7 + k) % 8]) for i in range(12) for k in range(1 + i % 4)]
+    tokens = spark.createDataFrame(rows, "id int, label string, word string")
+    docs = tokens.select("id", "label").distinct()
+    prior, seen, occ = bayes.priors(docs, "label"), counts.presence(tokens, "id", "label"), counts.occurrences(tokens, "label")
+    scores = features.chi_square(seen, "label")
+    held = docs.unionByName(spark.createDataFrame([(99, "p")], "id int, label string"))  # a document without words
+    got = {(r["n_words"], r["model"], r["id"], r["label"]): r["score"] for r in bayes.sweep(held, tokens, occ, seen, scores, prior, [2, 5, 20], "id", "label").collect()}
+    for n in (2, 5, 20):
+        words = features.top(scores, n).select("word")
+        both = {"multinomial": bayes.score_multinomial(held, tokens, bayes.train_multinomial(occ, words, prior, "label"), prior, "id", "label"), "bernoulli": bayes.score_bernoulli(held, tokens, bayes.train_bernoulli(seen, words, prior, "label"), prior, "id", "label")}
+        for model, told in both.items():
+            assert all(abs(got[n, model, r["id"], r["label"]] - r["score"]) < 1e-9 for r in told.collect())
 
 
 def test_lda_query_sees_rare_words(spark, tmp_path):
@@ -53,3 +90,20 @@ def test_lda_query_sees_rare_words(spark, tmp_path):
     found = catalogue.queries()["lda_topics"](spark, str(tmp_path)).collect()
     assert {r["topic"] for r in found} == {*range(20)}
     assert {r["word"] for r in found} & {f"own{chr(97 + i)}" for i in range(12)}
+
+
+def test_labeled_lda_parts_words_by_label(spark):
+    """Words of their own label go there; a word of both goes by the rest of its document; unlabelled rows use all labels."""
+    from pyspark.sql import functions as F
+
+    from wordmill.operators import topics
+
+    rows = [(i, ["x"] if i % 4 == 0 else ["y"] if i % 4 == 1 else ["x", "y"] if i % 4 == 2 else None, (["xa", "xb"] if i % 2 == 0 else ["ya", "yb"]) * 10 + ["both"]) for i in range(40)] + [(40, ["x"], []), (41, ["y"], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, labels array<string>, words array<string>")
+    phi, theta = topics.labeled_lda(docs, "doc_id", "labels", "words", sweeps=30, part_tokens=200)
+    p = {(r["label"], r["word"]): r["phi"] for r in phi.collect()}
+    assert p["x", "xa"] > 0.4 and p["y", "ya"] > 0.4 and p.get(("x", "ya"), 0) < 0.05 and p.get(("y", "xa"), 0) < 0.05
+    t = {(r["doc_id"], r["label"]): r["theta"] for r in theta.collect()}
+    assert {k for k in t if k[0] == 0} == {(0, "x")} and t[2, "x"] > 0.8 and t[3, "y"] > 0.8 and (41, "y") in t
+    tokens = docs.where("size(words) > 0").select("doc_id", F.explode("words").alias("word"))
+    assert 1.5 < topics.perplexity(tokens, phi, theta, "doc_id").first()[0] < 3

@@ -608,8 +608,9 @@ def lda_topics(spark, sf_dir):
 
 @query("labeled_lda")
 def labeled_lda(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc_id"), F.array("role").alias("labels"), tokens.unicode_words(F.col("text")).alias("words"))
-    phi, _ = topics.labeled_lda(turns, "doc_id", "labels", "words", sweeps=1)
+    """Language and source as the labels of a document: the ten best words of each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_compact(F.array("lang", "source")).alias("labels"), tokens.unicode_words(F.col("text")).alias("words"))
+    phi, _ = topics.labeled_lda(docs, "doc_id", "labels", "words")
     return features.top_per(phi.withColumn("phi", F.round("phi", 9)), ["label"], "phi", 10)
 
 
