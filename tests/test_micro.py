@@ -103,6 +103,12 @@ def test_viterbi_is_brute_force():
         assert score(text, segment.viterbi(text, HMM)) == pytest.approx(best)
 
 
+def test_hmm_from_tables(spark):
+    sentences = [["ab", "c", "def"], ["今天", "天气", "好"], ["我", "喜欢", "今天"], []]
+    docs = spark.createDataFrame([(s,) for s in sentences], "words array<string>")
+    assert segment.train_hmm_table(docs, F.col("words")) == segment.train_hmm(sentences)
+
+
 def test_segment_udf_and_pos(spark):
     rows = spark.createDataFrame([(1, "ab，c"), (2, None)], "id long, text string")
     got = {r["id"]: list(r["w"]) for r in rows.select("id", segment.segment(spark, "mp", LEX)("text").alias("w")).collect()}

@@ -22,6 +22,11 @@ def test_lsi_uses_every_word_and_document(spark):
         have, want = np.stack([got[i] for i in range(40)]), (u * s)[:, :topics]
         assert np.allclose(values[:5], s[:5], rtol=1e-4)
         assert np.allclose(have @ have.T, want @ want.T, atol=2e-2 if topics == 5 else 1e-6)
+    # a new text that has the words of an old one comes to the old one's place
+    index, _, words = retrieval.lsi(weights, "doc_id", 60, documents, rounds=3, least=1e-9, part_rows=100, with_words=True)
+    again = {r["doc_id"]: np.array(r["vector"]) for r in retrieval.project(weights.where("doc_id in (3, 8)"), words, "doc_id").collect()}
+    old = {r["doc_id"]: np.array(r["vector"]) for r in index.collect()}
+    assert sorted(again) == [3, 8] and all(np.allclose(again[d], old[d], atol=1e-6) for d in again)
 
 
 def test_lsi_index_has_every_document(spark):

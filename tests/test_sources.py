@@ -57,3 +57,41 @@ def test_sinks(spark, tmp_path):
     build = lambda: built.append(1) or rows
     assert corpus.cached(spark, str(tmp_path), "c", build).count() == corpus.cached(spark, str(tmp_path), "c", build).count() == 2
     assert built == [1]
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    """Spark ships with Derby, which stands for the database."""
+    from wordmill.sources import corpus
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([("今天", 3), ("好", 1)], "word string, n int")
+    try:
+        corpus.write_jdbc(rows, url, "words", driver="org.apache.derby.jdbc.EmbeddedDriver", createTableColumnTypes="word VARCHAR(20)")
+    except Exception as missing:
+        if "ClassNotFound" not in str(missing) and "No suitable driver" not in str(missing):
+            raise
+        import pytest
+
+        pytest.skip("no Derby here")
+    got = corpus.jdbc(spark, url, "words", driver="org.apache.derby.jdbc.EmbeddedDriver").collect()
+    assert sorted((r[0], r[1]) for r in got) == [("今天", 3), ("好", 1)]
+
+
+def test_file_digest_and_models(spark, tmp_path):
+    import hashlib
+
+    from pyspark.ml.classification import MultilayerPerceptronClassificationModel
+    from pyspark.ml.linalg import Vectors
+
+    from wordmill.functions import strings
+    from wordmill.operators import neural
+
+    (tmp_path / "f.bin").write_bytes(b"\x00\xff text")
+    assert [r["md5"] for r in strings.file_digests(spark, f"{tmp_path}/f.bin").collect()] == [hashlib.md5(b"\x00\xff text").hexdigest()]
+    rows = spark.createDataFrame([(Vectors.dense(x, y), float((x > 0.5) != (y > 0.5))) for x in (0.0, 1.0) for y in (0.0, 1.0)] * 5, ["features", "label"])
+    model = neural.perceptron(rows, [2, 6, 2])
+    model.write().overwrite().save(f"file://{tmp_path}/model")
+    again = MultilayerPerceptronClassificationModel.load(f"file://{tmp_path}/model")
+    assert [r["prediction"] for r in again.transform(rows).collect()] == [r["prediction"] for r in model.transform(rows).collect()]
+    docs = spark.createDataFrame([(["a", "b", "c"] * 3,)] * 6, "words array<string>")
+    assert neural.word_vectors(docs, "words", size=4, least=1).getVectors().count() == 3

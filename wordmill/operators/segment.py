@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: the log probability of what was never seen.
@@ -70,6 +70,24 @@ def train_hmm(sentences) -> Hmm:
             trans[a][b] += 1
         for t, ch in zip(tags, "".join(words), strict=True):
             emit[t][ch] = emit[t].get(ch, 0) + 1
+    return _as_logs(start, trans, emit)
+
+
+def train_hmm_table(docs: DataFrame, words: Column) -> Hmm:
+    """train_hmm() of a column of words (array<string>), counted by executors; what comes to the driver has the model's size."""
+    from wordmill.operators import windows
+
+    listed = docs.select(F.filter(words, lambda w: w != "").alias("words")).where(F.size("words") > 0)
+    first = {r["t"]: r["n"] for r in listed.groupBy(F.when(F.char_length(F.col("words")[0]) == 1, "S").otherwise("B").alias("t")).agg(F.count("*").alias("n")).collect()}
+    trans, emit = ({s: dict.fromkeys(STATES, 0) for s in STATES}, {s: {} for s in STATES})
+    for r in windows.transitions(listed, F.col("words")).collect():
+        trans[r["tag"]][r["next_tag"]] = r["n"]
+    for r in windows.emissions(listed, F.col("words"), smooth=0).collect():
+        emit[r["tag"]][r["ch"]] = r["n"]
+    return _as_logs({s: first.get(s, 0) for s in STATES}, trans, emit)
+
+
+def _as_logs(start: dict, trans: dict, emit: dict) -> Hmm:
     log = lambda n, total: math.log(n / total) if n else MIN_LOG
     return Hmm({s: log(start[s], sum(start.values()) or 1) for s in STATES}, {a: {b: log(n, sum(row.values()) or 1) for b, n in row.items()} for a, row in trans.items()}, {s: {c: log(n, sum(row.values())) for c, n in row.items()} for s, row in emit.items()})
 

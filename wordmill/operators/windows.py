@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wordmill.operators.vocab import number_rows
+
 EDGE = "*"
 
 
@@ -101,6 +103,19 @@ def runs(tokens: DataFrame, key: str, same: str) -> DataFrame:
     return grouped.withColumn("words", F.transform("w", lambda x: x["word"])).drop("w")
 
 
+def joined_frames(docs: DataFrame, text: str, *order: str, reach: int = 2, least: int = 5) -> DataFrame:
+    """(order, pos, frame): each character's frame over the whole corpus, whose texts (of at least so many characters) follow one another
+    in this order; the first and last characters of all have none. A text is joined with its neighbours' ends, never with all."""
+    rows = number_rows(docs.where(F.char_length(text) >= max(least, reach)).select(*order, F.col(text).alias("__text")), *order, name="__i")
+    before = rows.select((F.col("__i") + 1).alias("__i"), F.substring("__text", -reach, reach).alias("__before"))
+    after = rows.select((F.col("__i") - 1).alias("__i"), F.substring("__text", 1, reach).alias("__after"))
+    near = rows.join(before, "__i", "left").join(after, "__i", "left")
+    padded = F.concat(F.coalesce("__before", F.lit("")), "__text", F.coalesce("__after", F.lit("")))
+    every = F.regexp_extract_all(padded, F.lit(rf"(?=([\s\S]{{{2 * reach + 1}}}))"), F.lit(1))
+    first = F.when(F.col("__before").isNull(), reach + 1).otherwise(1)
+    return near.select(*order, first.alias("__first"), F.posexplode(every).alias("__p", "frame")).select(*order, (F.col("__p") + F.col("__first")).alias("pos"), "frame")
+
+
 def constrained_decode(probabilities: Column) -> Column:
     """BEMS tags from rows of four probabilities (B, E, M, S): greedy, only legal successors.
 

@@ -448,6 +448,11 @@ def char_window7(spark, sf_dir):
     return framed.groupBy("frame").agg(F.count("*").alias("n"))
 
 
+@query("joined_frames", "WITH d AS (SELECT string_agg(text, '' ORDER BY conv_id, turn) AS t FROM conversations WHERE length(text) >= 5), c AS (SELECT unnest(cs) AS ch, generate_subscripts(cs, 1) AS i FROM (SELECT string_split(t, '') AS cs FROM d)), f AS (SELECT lag(ch, 2) OVER z || lag(ch, 1) OVER z || ch || lead(ch, 1) OVER z || lead(ch, 2) OVER z AS frame FROM c WINDOW z AS (ORDER BY i)) SELECT frame, count(*) AS n FROM f WHERE frame IS NOT NULL GROUP BY frame")
+def joined_frames(spark, sf_dir):
+    return windows.joined_frames(table(spark, sf_dir, "conversations"), "text", "conv_id", "turn").groupBy("frame").agg(F.count("*").alias("n"))
+
+
 @query("next_char8", r"""WITH b AS (SELECT '########' || text AS t, length(text) AS n FROM conversations), f AS (SELECT substr(t, CAST(i AS BIGINT), 8) AS history, substr(t, CAST(i AS BIGINT) + 8, 1) AS next FROM (SELECT t, unnest(range(1, n + 1)) AS i FROM b)),
 c AS (SELECT history, next, count(*) AS n FROM f GROUP BY ALL)
 SELECT history, next, n, round(n / CAST(sum(n) OVER (PARTITION BY history) AS DOUBLE), 9) AS p FROM c""")
