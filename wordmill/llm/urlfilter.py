@@ -62,7 +62,12 @@ def path_of(url: Column) -> Column:
 def grams(text: Column, mark: str, sizes=SIZES) -> Column:
     """All character n-grams of a text between border signs, marked with their field."""
     padded = F.concat(F.lit("^"), text, F.lit("$"))
-    every = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(padded) - (n - 1))), lambda i, n=n: F.concat(F.lit(mark), F.substring(padded, i, F.lit(n)))) for n in sizes]
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(padded) - (n - 1)))
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(padded, i, F.lit(n))))
+
+    every = [of_size(n) for n in sizes]
     return F.when(F.char_length(text) > 0, F.concat(*every)).otherwise(F.array().cast("array<string>"))
 
 
