@@ -238,6 +238,58 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(1, 41)}
 
 
+def rows_of_joins(spark, run):
+    """What run() gives, and the rows that joins made meanwhile."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    known_ids = lambda: {every.apply(i).executionId() for every in [store.executionsList()] for i in range(every.size())}
+    before, out, rows = known_ids(), run(), 0
+    bus.waitUntilEmpty()
+    for i in known_ids() - before:
+        known, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size()) if "Join" in nodes.apply(k).name()):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if m.name() == "number of output rows" and known.contains(m.accumulatorId()):
+                    rows += int(known.apply(m.accumulatorId()).replace(",", ""))
+    return out, rows
+
+
+def test_many_stars_of_a_group_are_joined_once(spark):
+    """Each of 300 near copies is in 40 stars, as with many prints; a copied chain hangs on them."""
+    links = [(node, hub) for node in range(1000, 1300) for hub in range(40)] + [(i + 1, i) for i in range(1299, 1310)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame(links * 2, "a long, b long").mapInArrow(counted, "a long, b long")
+    got, rows = rows_of_joins(spark, lambda: {r["node"]: r["root"] for r in simhash.components(edges).collect()})
+    assert got == {x: 0 for x in [*range(1, 40), *range(1000, 1311)]}
+    assert len(links) <= rows <= 1.5 * len(links)
+    assert read.value == 2 * len(links)
+
+
+def test_components_of_many_shapes(spark):
+    rng = random.Random(5)
+    shapes = [[(rng.randrange(200), rng.randrange(200)) for _ in range(n)] for n in (60, 200, 260, 1500)]
+    shapes += [[(i, i + 2) for i in range(198)] + [(500, 198), (500, 199)], [(199, i) for i in range(199)], []]  # two paths that meet above, a star around its greatest
+    edges = [(a + 1000 * k, b + 1000 * k) for k, shape in enumerate(shapes) for a, b in shape]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in parent if root(x) != x}
+
+
 def slow_winnow(text, k, w):
     points = winnow.code_points(text)
     if not len(points):

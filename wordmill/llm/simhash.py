@@ -16,8 +16,8 @@ travels with its node, so that collisions are links between nodes at once.
 
 All fingerprints with one variant in common are mutually linked, so a chain through them keeps every
 link's component: a part passes on a star to the least node of each component that it sees, never all pairs.
-Most parts see a group of near copies whole and pass on the same stars, which are made distinct. The components
-of the union come from min-label steps with pointer jumping, each written out.
+Parts that see a group of near copies whole pass on the same stars, which are made distinct; with many prints a node
+is in many different stars. The components of the union come from rounds that leave a node one link, each written out.
 
 Edge cases: null and empty texts, and texts without words, have fingerprint zero, linked like any
 other; fewer than `words` words are one shingle; equal fingerprints are one class from the start, so
@@ -265,19 +265,21 @@ def links(distinct: DataFrame, distance: int = 4, prints: int = 1, bits: int = B
 def components(edges: DataFrame) -> DataFrame:
     """node long, root long (not the node itself): components of edges (a, b), by the least id.
 
-    Hash-to-min with pointer jumping: labels move along edges, then a label's label is taken. Both
-    aggregates combine before their shuffle, so a node with very many edges is no hot group."""
-    both = stage(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
-    label = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")).select(F.col("u").alias("node"), "l"), "labels")
+    A node's parent is the least of its lower neighbours. In a round a node keeps one link, to its parent's parent;
+    its links to other lower neighbours become links from these to the parent, which say the same of the component.
+    So the many stars of a group soon are one, of a link for each node, and a path halves; the rounds end with stars.
+    Edges are read once; aggregates combine before their shuffle."""
+    new = edges.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("lower"), F.lit(True).alias("moved"))
     while True:
-        seen = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("l").alias("m")).withColumnRenamed("u", "n2")
-        near = label.join(seen, F.col("node") == F.col("n2")).select("node", F.least("l", "m").alias("l"), F.col("l").alias("old"))
-        up = label.select(F.col("node").alias("up"), F.col("l").alias("ul"))
-        far = near.join(up, F.col("l") == F.col("up"), "left").select("node", F.least("l", F.coalesce("ul", "l")).alias("l"), "old")
-        moved = stage(far, "labels")
-        label, changed = moved.select("node", "l"), moved.where("l <> old").limit(1).count()
-        if not changed:
-            return label.where("node <> l").select("node", F.col("l").alias("root"))
+        held = stage(new.groupBy("node", "lower").agg(F.max("moved").alias("moved")), "edges")
+        if not held.where("moved").limit(1).count():
+            return held.select("node", F.col("lower").alias("root"))
+        parent = stage(held.groupBy("node").agg(F.min("lower").alias("least"), F.count("*").alias("n")), "parents")
+        above = parent.select(F.col("node").alias("up"), F.col("least").alias("top"))
+        kept = parent.join(above, F.col("least") == F.col("up"), "left").select("node", F.coalesce("top", "least").alias("lower"), F.col("top").isNotNull().alias("moved"))
+        several = parent.where("n > 1").select(F.col("node").alias("of"), "least")
+        passed = held.join(several, F.col("node") == F.col("of")).where("lower <> least").select(F.col("lower").alias("node"), F.col("least").alias("lower"), F.lit(True).alias("moved"))
+        new = kept.unionByName(passed)
 
 
 def grouped(rows: DataFrame, first, distance: int, prints: int, bits: int) -> DataFrame:
