@@ -97,6 +97,32 @@ def test_lda_query_sees_rare_words(spark, tmp_path):
     assert {r["word"] for r in found} & {f"own{chr(97 + i)}" for i in range(12)}
 
 
+def test_lda_rounds_are_carried_on(spark):
+    from pyspark.sql import functions as F
+
+    from wordmill.operators import topics
+
+    rows = [(i, ("plum pear " if i % 2 else "iron zinc ") * (1 + i % 3) + f"own{i}") for i in range(40)]
+    featured, _ = topics.vectors(spark.createDataFrame(rows, "doc_id long, text string"), F.split("text", " "))
+    featured = featured.select("features").persist()
+    told = lambda model: [(r["topic"], r["termIndices"], [round(w, 9) for w in r["termWeights"]]) for r in model.describeTopics(4).collect()]
+
+    def jobs(name, run):
+        spark.sparkContext.setJobGroup(name, name)
+        out = run()
+        made = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, made
+
+    once, of_once = jobs("lda once", lambda: topics.lda(featured, 3, 16))
+    model, of_all = jobs("lda until", lambda: topics.lda_until(featured, 3, rounds=4, most=16, least=-1.0))
+    assert 16 <= of_once <= of_all <= of_once + 16  # 28 rounds and more, if each step begins anew
+    assert told(model) and model.vocabSize() == once.vocabSize() == 44 and model.logPerplexity(featured) > 0
+    # the same rounds as pyspark.ml's own, over the same partitions
+    assert told(topics.Rounds(featured, 3, 1).until(16)) == told(once)
+    featured.unpersist()
+
+
 def test_labeled_lda_parts_words_by_label(spark):
     """Words of their own label go there; a word of both goes by the rest of its document; unlabelled rows use all labels."""
     from pyspark.sql import functions as F
