@@ -22,6 +22,11 @@ def document_frequency(tokens: DataFrame, doc: str, least: int = 1) -> DataFrame
     return per.groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).where(F.col("df") >= least)
 
 
+def presence_of(docs: DataFrame, words: Column) -> DataFrame:
+    """(word, n): in how many rows a word is. Each row's distinct words are counted at once, (row, word) is never shuffled."""
+    return docs.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
 def marginals(counts: DataFrame, label: str) -> DataFrame:
     """(word, label), (word), (label) and () sums of n in one pass; level is grouping_id(word, label)."""
     return counts.groupingSets([["word", label], ["word"], [label], []], "word", label).agg(F.sum("n").alias("n"), F.grouping_id("word", label).cast("int").alias("level"))
