@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +15,8 @@ from pyspark.sql.window import Window
 from wordmill.operators.vocab import number_rows
 
 EDGE = "*"
+#: Characters whose frames are counted at a time.
+FRAMES = 1 << 22
 
 
 def neighbours(tokens: DataFrame, key: str, reach: int = 2, edge: str | None = EDGE) -> DataFrame:
@@ -59,6 +67,73 @@ def frames(docs: DataFrame, text: Column, before: int, after: int, pad: str, *ke
     return made.withColumn("pos", F.col("pos") + 1)
 
 
+def _codes(batches: Iterator[pa.RecordBatch], before: int, after: int, pad: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of texts of about FRAMES characters at a time: the code points with their paddings, and where frames start."""
+    texts, held = [], 0
+    every = itertools.chain.from_iterable(b.column(0).to_pylist() for b in batches)
+    for text in itertools.chain(every, [None]):
+        if text:
+            texts.append(text)
+            held += len(text)
+        if texts and (held >= FRAMES or text is None):
+            size = np.array([len(t) for t in texts])
+            code = np.frombuffer("".join(pad * before + t + pad * after for t in texts).encode("utf-32-le"), np.uint32)
+            yield code, np.arange(size.sum()) + np.repeat(np.arange(len(size)) * (before + after), size)
+            texts, held = [], 0
+
+
+def count_frames(docs: DataFrame, text: Column, before: int, after: int, pad: str) -> DataFrame:
+    """(frame, n): how often each of the frames() occurs. Frames of a piece of text are numbers until they are counted, so what Spark adds up
+    are the different ones of each piece."""
+    width = before + after + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, at in _codes(batches, before, after, pad):
+            used = np.zeros(0x110000, np.int64)
+            used[code] = 1
+            size = int(used.sum())
+            ids = (np.cumsum(used) - 1)[code]
+            key, values = ids[at], size
+            for k in range(1, width):
+                if values * size >= 1 << 62:
+                    known, key = np.unique(key, return_inverse=True)
+                    values = len(known)
+                key, values = key * size + ids[at + k], values * size
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            for i in range(0, len(first), 1 << 18):
+                points = code[at[first[i : i + (1 << 18)]][:, None] + np.arange(width)]
+                long = (1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)).sum(axis=1)
+                ends = np.concatenate(([0], np.cumsum(long))).astype(np.int32)
+                frames = pa.StringArray.from_buffers(len(long), pa.py_buffer(ends), pa.py_buffer(points.tobytes().decode("utf-32-le").encode()))
+                yield pa.RecordBatch.from_arrays([frames, pa.array(n[i : i + (1 << 18)].astype(np.int64))], ["frame", "n"])
+
+    return docs.select(text.alias("text")).mapInArrow(run, "frame string, n long").groupBy("frame").agg(F.sum("n").alias("n"))
+
+
+def count_adjacent(docs: DataFrame, words: Column, by: str) -> DataFrame:
+    """(by, w1, w2, n): counts of adjacent_pairs(); those of some rows are counted by whole arrays before Spark adds them up."""
+    kind = docs.select(by).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            lists, group = batch.column("words"), batch.column(by).dictionary_encode("encode")
+            row = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            if len(row) < 2:
+                continue
+            coded = lists.flatten().dictionary_encode()
+            code, many = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+            first = np.flatnonzero(row[1:] == row[:-1])
+            own = group.indices.to_numpy().astype(np.int64)[row[first]]
+            seen, n = np.unique((own * many + code[first]) * many + code[first + 1], return_counts=True)
+            parts = [group.dictionary.take(pa.array(seen // many // many)), coded.dictionary.take(pa.array(seen // many % many)), coded.dictionary.take(pa.array(seen % many))]
+            yield pa.RecordBatch.from_arrays([*parts, pa.array(n.astype(np.int64))], [by, "w1", "w2", "n"])
+
+    told = docs.select(by, words.alias("words")).mapInArrow(run, f"`{by}` {kind}, w1 string, w2 string, n long")
+    return told.groupBy(by, "w1", "w2").agg(F.sum("n").alias("n"))
+
+
 def histories(docs: DataFrame, text: Column, size: int, pad: str, *keep: str) -> DataFrame:
     """keep, pos, history (the size characters before), next (the character): for next-character models."""
     framed = frames(docs, text, size, 0, pad, *keep)
@@ -89,9 +164,10 @@ def transitions(docs: DataFrame, words: Column) -> DataFrame:
 
 
 def emissions(docs: DataFrame, words: Column, smooth: int = 1) -> DataFrame:
-    """(tag, ch, n): how often a tag stands over a character, plus smoothing."""
-    each = docs.select(F.explode(F.arrays_zip(tag_sequence(words).alias("tag"), F.regexp_extract_all(F.array_join(words, ""), F.lit(r"([\s\S])"), F.lit(1)).alias("ch"))).alias("p"))
-    return each.groupBy(F.col("p.tag").alias("tag"), F.col("p.ch").alias("ch")).agg((F.count("*") + smooth).alias("n"))
+    """(tag, ch, n): how often a tag stands over a character, plus smoothing. Words are counted first, so each different word is taken apart once a task."""
+    seen = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    each = seen.select("n", F.explode(F.arrays_zip(bems(F.col("word")).alias("tag"), F.regexp_extract_all("word", F.lit(r"([\s\S])"), F.lit(1)).alias("ch"))).alias("p"))
+    return each.groupBy(F.col("p.tag").alias("tag"), F.col("p.ch").alias("ch")).agg((F.sum("n") + smooth).alias("n"))
 
 
 def runs(tokens: DataFrame, key: str, same: str) -> DataFrame:
