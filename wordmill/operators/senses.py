@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wordmill.operators.windows import neighbours
+
 UNDEFINED = "_UNDEFINE_"
 
 
@@ -55,16 +57,23 @@ def polysemous(thesaurus: DataFrame, least: int = 2) -> DataFrame:
     return thesaurus.groupBy("word").agg(F.countDistinct("sense").alias("senses")).where(F.col("senses") >= least)
 
 
+def _near(tokens: DataFrame, key: str) -> DataFrame:
+    return neighbours(tokens.select(key, "pos", "word"), key, 2, None)
+
+
 def expand(tokens: DataFrame, thesaurus: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Level 1. A synonym with just one (word, sense) passes its sense on to the occurrence.
 
     Returns (found: key, pos, synonym, word, sense) and (phrases: phrase, synonym, word, sense), the
-    five-word windows with the synonym replaced by each other synonym of the sense."""
+    five-word windows with the synonym replaced by each other synonym of the sense. Tokens are shuffled and sorted by key; expand_near() does without."""
+    return expand_near(_near(tokens, key), thesaurus, key)
+
+
+def expand_near(near: DataFrame, thesaurus: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """expand() of words with their neighbours (windows.neighbours_of, no edge)."""
     single = thesaurus.groupBy("synonym").agg(F.countDistinct("word", "sense").alias("k")).where("k = 1").select("synonym")
     unique = thesaurus.join(single, "synonym", "left_semi").select("synonym", "word", "sense").distinct()
-    w = Window.partitionBy(key).orderBy("pos")
-    near = tokens.select(key, "pos", "word", F.lag("word", 2).over(w).alias("b2"), F.lag("word", 1).over(w).alias("b1"), F.lead("word", 1).over(w).alias("a1"), F.lead("word", 2).over(w).alias("a2")).withColumnRenamed("word", "synonym")
-    found = near.join(unique, "synonym")
+    found = near.withColumnRenamed("word", "synonym").join(unique, "synonym")
     others = thesaurus.select("word", "sense", F.col("synonym").alias("other")).distinct()
     inside = found.where("b2 is not null and a2 is not null").join(others, ["word", "sense"]).where("other <> synonym")
     phrases = inside.select(F.concat_ws(" ", "b2", "b1", "other", "a1", "a2").alias("phrase"), F.col("other").alias("synonym"), "word", "sense").distinct()
@@ -73,9 +82,13 @@ def expand(tokens: DataFrame, thesaurus: DataFrame, key: str) -> tuple[DataFrame
 
 def expand_again(tokens: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     """Level 2: (key, word, sense) of texts that contain a phrase of level 1; joined on the phrase."""
-    w = Window.partitionBy(key).orderBy("pos")
-    five = tokens.select(key, F.concat_ws(" ", F.lag("word", 2).over(w), F.lag("word", 1).over(w), "word", F.lead("word", 1).over(w), F.lead("word", 2).over(w)).alias("phrase"), F.lag("word", 2).over(w).alias("b"), F.lead("word", 2).over(w).alias("a"))
-    return five.where("a is not null and b is not null").join(phrases, "phrase").select(key, "word", "sense").distinct()
+    return expand_again_near(_near(tokens, key), phrases, key)
+
+
+def expand_again_near(near: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+    """expand_again() of words with their neighbours; near should be cut before to words that stand in the middle of a phrase."""
+    five = near.where("b2 is not null and a2 is not null").select(key, F.concat_ws(" ", "b2", "b1", "word", "a1", "a2").alias("phrase"))
+    return five.join(phrases.select("phrase", "word", "sense"), "phrase").select(key, "word", "sense").distinct()
 
 
 def evidence(occurrences: DataFrame, counts: DataFrame, thesaurus: DataFrame, keys: list[str]) -> DataFrame:
